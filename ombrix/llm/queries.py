@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, token_files
+from . import bpe, fingerprint, packing, sharding, token_files, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_url_filter": url_filter.op2_url_filter,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op6_sharding": sharding.op6_sharding,
     "op7_token_files": token_files.op7_token_files,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op10_fingerprints": fingerprint.op10_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": url_filter.oracle()}
