@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, packing, sharding, token_files, toxicity, url_filter
+from . import bpe, fingerprint, packing, sharding, suffix, token_files, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_url_filter": url_filter.op2_url_filter,
+    "op3_suffix_array_dedup": suffix.op3_suffix_array_dedup,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op6_sharding": sharding.op6_sharding,
     "op7_token_files": token_files.op7_token_files,
