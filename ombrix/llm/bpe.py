@@ -54,12 +54,7 @@ class PerfectHash:
                 if sizes[b]:
                     singles.append((b, own[0]))
                 continue
-            d = 0
-            while True:
-                slots = self._slot(h[own], np.int32(d))
-                if (self.slot_key[slots] < 0).all() and len(set(slots.tolist())) == len(own):
-                    break
-                d += 1
+            d, slots = self._first_fit(h[own])
             self.shift[b], self.slot_key[slots] = d, own
         for (b, key), slot in zip(singles, np.flatnonzero(self.slot_key < 0), strict=True):
             self.shift[b], self.slot_key[slot] = -1 - slot, key
@@ -70,6 +65,15 @@ class PerfectHash:
     def _slot(self, h: np.ndarray, d) -> np.ndarray:
         return (mix64(h ^ (np.asarray(d, np.uint64) * np.uint64(0x9E3779B97F4A7C15))) % np.uint64(self.n)).astype(np.int64)
 
+    def _first_fit(self, h: np.ndarray) -> tuple[int, np.ndarray]:
+        for d in range(0, 1 << 31, 256):
+            slots = self._slot(h, np.arange(d, d + 256)[:, None])
+            ok = (self.slot_key[slots] < 0).all(1)
+            for k in np.flatnonzero(ok).tolist():
+                if len(set(slots[k].tolist())) == len(h):
+                    return d + k, slots[k]
+        raise RuntimeError("no displacement fits")
+
     def candidates(self, keys: list[bytes]) -> np.ndarray:
         """The one key number that each byte string could be; the caller compares."""
         h = self._hash(keys)

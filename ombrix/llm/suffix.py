@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .blobs import SCHEMA, TEXT, columns_of, dealt, digit, home, of_kind, packed_texts, passed_on, rows, table_of
 from .common import BLOCK_BYTES, buckets_for, byte_table, documents, mix64, with_uid, written
 from .pretoken import batches
 
@@ -42,7 +43,7 @@ def gram_hashes(buf: np.ndarray, lengths: list[int], seed: int = 7) -> list[np.n
     Hashes of 1, 2, 4, ... bytes come from pairs of half the length, any other length from its powers of two.
     """
     n = len(buf)
-    h, have, level = byte_table(seed)[buf], 1, 0
+    h, have, level = bytetable_of(seed)[buf], 1, 0
     parts: list = [None] * len(lengths)
     done = [0] * len(lengths)
     for k, length in enumerate(lengths):
@@ -97,50 +98,11 @@ def anchors(buf: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray,
     return first, stop, at[first], core[at[first]], context
 
 
-def _packed(columns: dict) -> bytes:
-    batch = columns if isinstance(columns, pa.RecordBatch) else pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], list(columns))
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def _table(payloads) -> pa.Table | None:
-    tables = [pa.ipc.open_stream(p.as_buffer()).read_all() for p in payloads]
-    return pa.concat_tables(tables) if tables else None
-
-
-def _columns(payloads) -> dict[str, np.ndarray]:
-    table = _table(payloads)
-    return {} if table is None else {n: table.column(n).to_numpy() for n in table.column_names}
-
-
-def _home(uid: np.ndarray, n: int) -> np.ndarray:
-    return (mix64(uid.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
-
-
-def _digit(key: np.ndarray, n: int) -> np.ndarray:
-    """The most significant digit, for n buckets."""
-    return ((key >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-
-
-def _rows(parts: list[tuple[int, int, dict]]) -> pa.Table:
-    return pa.table({"bucket": pa.array([b for b, _, _ in parts], pa.int32()), "kind": pa.array([k for _, k, _ in parts], pa.int32()), "payload": pa.array([_packed(c) for _, _, c in parts], pa.binary())})
-
-
-def _dealt(columns: dict[str, np.ndarray], bucket: np.ndarray, kind: int, base: int = 0) -> list[tuple[int, int, dict]]:
-    """The rows of each bucket, as parts for _rows."""
-    order = np.argsort(bucket, kind="stable")
-    own = bucket[order]
-    edge = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, int)
-    return [(base + int(own[a]), kind, {n: v[order[a:b]] for n, v in columns.items()}) for a, b in zip(edge, np.append(edge[1:], len(own)), strict=True)]
-
-
 def _orders(uid, first, core, context, off, homes: int, kind, stop) -> list[tuple[int, int, dict]]:
     """What documents are told: remove bytes [first, stop), or expand the windows from first up to stop."""
     if not len(uid):
         return []
-    return _dealt({"uid": uid, "first": first.astype(np.int64), "stop": stop.astype(np.int64), "core": core, "off": off.astype(np.int16), "what": np.full(len(uid), kind, np.int8) if np.isscalar(kind) else kind.astype(np.int8)}, _home(uid, homes), 1)
+    return dealt({"uid": uid, "first": first.astype(np.int64), "stop": stop.astype(np.int64), "core": core, "off": off.astype(np.int16), "what": np.full(len(uid), kind, np.int8) if np.isscalar(kind) else kind.astype(np.int8)}, home(uid, homes), 1)
 
 
 def _removals(uid: np.ndarray, first: np.ndarray, stop: np.ndarray, homes: int) -> list[tuple[int, int, dict]]:
@@ -218,10 +180,10 @@ class _Records:
             out += [(self.buckets + b, k, c) for b, k, c in _orders(h["uid"], h["first"], h["core"], h["context"], h["off"], self.homes, EXPAND_WINDOWS, h["last"] + 1)]
             mark = np.unique(h["core"])
             z = np.zeros(len(mark), np.int64)
-            out += _dealt({"core": mark, "context": z.astype(np.uint64), "uid": z, "first": z, "size": z.astype(np.int16), "off": z.astype(np.int16), "mark": z.astype(np.int8) + 1}, _digit(mark, self.buckets), 0)
+            out += dealt({"core": mark, "context": z.astype(np.uint64), "uid": z, "first": z, "size": z.astype(np.int16), "off": z.astype(np.int16), "mark": z.astype(np.int8) + 1}, digit(mark, self.buckets), 0)
         keep = new & ~hot
         k = {n: v[keep] for n, v in r.items()}
-        return out + _dealt({"core": k["core"], "context": k["context"], "uid": k["uid"], "first": k["first"], "size": (k["last"] - k["first"]).astype(np.int16), "off": k["off"], "mark": np.zeros(len(k["uid"]), np.int8)}, _digit(k["core"], self.buckets), 0)
+        return out + dealt({"core": k["core"], "context": k["context"], "uid": k["uid"], "first": k["first"], "size": (k["last"] - k["first"]).astype(np.int16), "off": k["off"], "mark": np.zeros(len(k["uid"]), np.int8)}, digit(k["core"], self.buckets), 0)
 
 
 def _settle_anchors(r: dict[str, np.ndarray], window: int, homes: int) -> list[tuple[int, int, dict]]:
@@ -261,7 +223,7 @@ def _expand(texts: dict[int, bytes], r: dict[str, np.ndarray], window: int, buck
     if some.any():
         u, a, b = r["uid"][some], r["first"][some], r["stop"][some] - 1 + window
         data = [texts[i][s:e] for i, s, e in zip(u.tolist(), a.tolist(), b.tolist(), strict=True)]
-        bucket = _digit(r["core"][some], buckets)
+        bucket = digit(r["core"][some], buckets)
         order = np.argsort(bucket, kind="stable")
         edge = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1]))
         for s, e in zip(edge, np.append(edge[1:], len(order)), strict=True):
@@ -275,7 +237,7 @@ def _expand(texts: dict[int, bytes], r: dict[str, np.ndarray], window: int, buck
         removed, order, new = _settle_windows(core, rest, uid, place, window, homes)
         out += [(buckets + b, k, c) for b, k, c in removed]
         keep = order[new]
-        out += _dealt({"core": core[keep], "rest": rest[keep], "uid": uid[keep], "place": place[keep]}, _digit(rest[keep], buckets), 3)
+        out += dealt({"core": core[keep], "rest": rest[keep], "uid": uid[keep], "place": place[keep]}, digit(rest[keep], buckets), 3)
     return out
 
 
@@ -297,7 +259,6 @@ def repeats(docs: DataFrame, window: int = 100) -> tuple[DataFrame, int]:
     docs: uid and text. The result is two tables in the shared folder; see :func:`removed` for reading it.
     """
     buckets = homes = buckets_for(docs, 8 << 20)
-    schema = "bucket int, kind int, payload binary"
     texts = docs.select("uid", "text")
 
     def scan(batches_in):
@@ -307,41 +268,38 @@ def repeats(docs: DataFrame, window: int = 100) -> tuple[DataFrame, int]:
             for i, j in batches(data, 4 * BLOCK_BYTES):
                 held.add(uid[i:j], data[i:j])
                 if held.n >= FLUSH:
-                    yield from _rows(held.flush()).to_batches()
-        yield from _rows(held.flush()).to_batches()
+                    yield from rows(held.flush()).to_batches()
+        yield from rows(held.flush()).to_batches()
 
     def settle(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         if bucket >= buckets:  # orders already
-            return pa.table({"bucket": pa.array([bucket - buckets] * table.num_rows, pa.int32()), "kind": pa.array([1] * table.num_rows, pa.int32()), "payload": table.column("payload")})
-        return _rows(_settle_anchors(_columns(table.column("payload")), window, homes))
+            return passed_on(table, buckets)
+        return rows(_settle_anchors(columns_of(table.column("payload")), window, homes))
 
-    orders = written(texts.mapInArrow(scan, schema).groupBy("bucket").applyInArrow(settle, schema), "orders")
+    orders = written(texts.mapInArrow(scan, SCHEMA).groupBy("bucket").applyInArrow(settle, SCHEMA), "orders")
 
     def fetch(table: pa.Table) -> pa.Table:
-        kind = table.column("kind").to_numpy()
-        r = _columns([p for p, k in zip(table.column("payload"), kind, strict=True) if k == 1])
+        r = columns_of(of_kind(table, 1))
         if not r or not (r["what"] != REMOVE).any():
-            return _rows([])
+            return rows([])
         wanted = r["what"] != REMOVE
         r = {k: v[wanted] for k, v in r.items()}
         need = set(r["uid"].tolist())
         found = {}
-        for p, k in zip(table.column("payload"), kind, strict=True):
-            if k == 4:
-                t = _table([p])
-                for u, x in zip(t.column("uid").to_pylist(), t.column("text"), strict=True):
-                    if u in need:
-                        found[u] = (x.as_py() or "").encode()
-        return _rows(_expand(found, r, window, buckets, homes))
+        for p in of_kind(table, TEXT):
+            t = table_of([p])
+            for u, x in zip(t.column("uid").to_pylist(), t.column("text"), strict=True):
+                if u in need:
+                    found[u] = (x.as_py() or "").encode()
+        return rows(_expand(found, r, window, buckets, homes))
 
     def finish(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         if bucket >= buckets:
-            return pa.table({"bucket": pa.array([bucket - buckets] * table.num_rows, pa.int32()), "kind": pa.array([1] * table.num_rows, pa.int32()), "payload": table.column("payload")})
-        kind = table.column("kind").to_numpy()
+            return passed_on(table, buckets)
         parts = []
-        contexts = _table([p for p, k in zip(table.column("payload"), kind, strict=True) if k == 2])
+        contexts = table_of(of_kind(table, 2))
         if contexts is not None:
             order = np.argsort(contexts.column("core").to_numpy(), kind="stable")
             core = contexts.column("core").to_numpy()[order]
@@ -354,35 +312,21 @@ def repeats(docs: DataFrame, window: int = 100) -> tuple[DataFrame, int]:
                 to = int(np.searchsorted(core, core[to - 1], side="right"))
                 parts += _settle_windows(*_spread([data[k] for k in order[at:to]], core[at:to], uid[at:to], first[at:to], off[at:to], window), window, homes)[0]
                 at = to
-        w = _columns([p for p, k in zip(table.column("payload"), kind, strict=True) if k == 3])
+        w = columns_of(of_kind(table, 3))
         if w:
             parts += _settle_windows(w["core"], w["rest"], w["uid"], w["place"], window, homes)[0]
-        return _rows(parts)
+        return rows(parts)
 
-    fetched = packed_texts(texts, homes).unionByName(orders).groupBy("bucket").applyInArrow(fetch, schema)
-    more = written(fetched.groupBy("bucket").applyInArrow(finish, schema), "more")
+    fetched = packed_texts(texts, homes).unionByName(orders).groupBy("bucket").applyInArrow(fetch, SCHEMA)
+    more = written(fetched.groupBy("bucket").applyInArrow(finish, SCHEMA), "more")
     return orders.unionByName(more), homes
 
 
-def packed_texts(docs: DataFrame, homes: int) -> DataFrame:
-    """docs (with uid, and any more columns) as compressed Arrow buffers per home, kind 4."""
-
-    def pack(batches_in):
-        for batch in batches_in:
-            home = _home(batch.column("uid").to_numpy(), homes)
-            parts = [(int(h), 4, batch.take(pa.array(np.flatnonzero(home == h)))) for h in np.unique(home)]
-            for i in range(0, len(parts), 16):
-                yield from _rows(parts[i : i + 16]).to_batches()
-
-    return docs.mapInArrow(pack, "bucket int, kind int, payload binary")
-
-
 def with_removals(docs: DataFrame, orders: DataFrame, homes: int, make, schema) -> DataFrame:
     """make(table of documents, per row a list of removed [start, stop)) -> Arrow table, for all documents of a home."""
 
     def apply(table: pa.Table) -> pa.Table:
-        kind = table.column("kind").to_numpy()
-        r = _columns([p for p, k in zip(table.column("payload"), kind, strict=True) if k == 1])
+        r = columns_of(of_kind(table, 1))
         gone: dict[int, list] = {}
         if r:
             gone_at = r["what"] == REMOVE
@@ -393,10 +337,10 @@ def with_removals(docs: DataFrame, orders: DataFrame, homes: int, make, schema)
                     own[-1][1] = max(own[-1][1], b)
                 else:
                     own.append([a, b])
-        rows = _table([p for p, k in zip(table.column("payload"), kind, strict=True) if k == 4])
-        if rows is None:
+        found = table_of(of_kind(table, TEXT))
+        if found is None:
             return make(None, [])
-        return make(rows, [gone.get(u, []) for u in rows.column("uid").to_pylist()])
+        return make(found, [gone.get(u, []) for u in found.column("uid").to_pylist()])
 
     return packed_texts(docs, homes).unionByName(orders).groupBy("bucket").applyInArrow(apply, schema)
 
@@ -419,10 +363,10 @@ def report(docs: DataFrame, window: int = 100) -> DataFrame:
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
-    def make(rows, spans):
+    def make(found, spans):
         out = [[], [], [], [], []]
-        if rows is not None:
-            for i, t, s in zip(rows.column("doc_id").to_pylist(), rows.column("text"), spans, strict=True):
+        if found is not None:
+            for i, t, s in zip(found.column("doc_id").to_pylist(), found.column("text"), spans, strict=True):
                 data, kept = _kept(t.as_py(), s)
                 for column, v in zip(out, (i, len(data), len(data) - len(kept), len(s), hashlib.sha256(kept).hexdigest()), strict=True):
                     column.append(v)
@@ -443,15 +387,15 @@ def without_repeats(docs: DataFrame, columns: list[str], window: int = 100) -> D
 
     arrow = to_arrow_schema(schema)
 
-    def make(rows, spans):
-        if rows is None:
-            return arrow.empty_table()
-        texts = [t.as_py() if not s else _kept(t.as_py(), s)[1].decode("utf-8", "ignore") for t, s in zip(rows.column("text"), spans, strict=True)]
-        rows = rows.select(columns).set_column(columns.index("text"), "text", pa.array(texts, pa.string()))
+    def make(found, spans):
+        if found is None:
+            return arrow.emptytable_of()
+        texts = [t.as_py() if not s else _kept(t.as_py(), s)[1].decode("utf-8", "ignore") for t, s in zip(found.column("text"), spans, strict=True)]
+        found = found.select(columns).set_column(columns.index("text"), "text", pa.array(texts, pa.string()))
         if "n_chars" in columns:
             k = columns.index("n_chars")
-            rows = rows.set_column(k, "n_chars", pa.array([len(t) if s else n for t, s, n in zip(texts, spans, rows.column("n_chars").to_pylist(), strict=True)], arrow.field(k).type))
-        return rows.cast(arrow)
+            found = found.set_column(k, "n_chars", pa.array([len(t) if s else n for t, s, n in zip(texts, spans, found.column("n_chars").to_pylist(), strict=True)], arrow.field(k).type))
+        return found.cast(arrow)
 
     return with_removals(docs.select("uid", *columns), orders, homes, make, schema)
 
