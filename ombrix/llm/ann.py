@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-BOOKS, WORDS, BEAM = 16, 256, 4
+BOOKS, WORDS, BEAM = 32, 256, 4
 SAMPLE = 8192
 #: Codes per query that are compared with the original vectors.
 RERANK = 256
