@@ -28,6 +28,8 @@ THRESHOLD = 0.3
 #: The largest fitting sample, in documents of each label. The sample is the labelled rows of smallest hash.
 MOST_TOXIC, MOST_CLEAN = 1500, 3000
 MOST_FEATURES = 4096
+#: Of the chains without a telling feature every so many-th takes part in the fit.
+EVERY = 40
 
 _TOKEN = np.ones(256, bool)
 _TOKEN[:128] = [chr(i).isalnum() for i in range(128)]
@@ -162,7 +164,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     for half in (0, 1):
         seen, new = np.flatnonzero(rank != half), np.flatnonzero(rank == half)
         other, some = fit_chain([texts[i] for i in seen], y[seen]), [texts[i].lower().encode() for i in new]
-        for i, j in batches(some, 8 * BLOCK_BYTES):
+        for i, j in batches(some, BLOCK_BYTES):
             x[new[i:j]] = [_document_features(m) for _, m in marginals(Tokens(some[i:j]), other, j - i)]
     w, ridge = np.zeros(3), np.diag([0.01, 0.3, 0.3])
     for _ in range(40):  # Newton's steps
@@ -177,70 +179,89 @@ def fit_chain(texts: list[str], y: np.ndarray, chain: int = 24, steps: int = 60)
     empty = Model(np.zeros(0, np.uint64), np.zeros(0), -6.0, np.zeros((2, 2)), np.array([-4.0, 0, 0]))
     if not len(y) or y.min() == y.max():
         return empty
-    tok = Tokens([t.lower().encode() for t in texts])
-    # documents of each label with a feature
-    pairs = np.unique(np.stack([np.repeat(tok.text.astype(np.uint64), tok.features.shape[1]), tok.features.ravel()], 1), axis=0) if len(tok.text) < 200_000 else _distinct(tok)
-    keys, inverse = np.unique(pairs[:, 1], return_inverse=True)
-    is_toxic = y[pairs[:, 0].astype(int)]
-    pos, neg = np.bincount(inverse, is_toxic, len(keys)), np.bincount(inverse, 1 - is_toxic, len(keys))
-    n1, n0 = y.sum(), len(y) - y.sum()
+    low = [t.lower().encode() for t in texts]
+    n1, n0 = int(y.sum()), int(len(y) - y.sum())
+    # features of enough toxic documents, and in how many clean ones they are; a block of texts at a time
+    toxic_texts = np.flatnonzero(y == 1)
+    carried = [np.unique(tok.features[a:b]) for tok in _blocks([low[i] for i in toxic_texts]) for a, b in zip(tok.first, tok.first[1:], strict=False)]
+    keys, pos = np.unique(np.concatenate(carried), return_counts=True)
+    number, keys, pos = len(keys), keys[pos >= 4], pos[pos >= 4]
+    if not len(keys):
+        return empty
+    neg = np.zeros(len(keys), np.int64)
+    for tok in _blocks([low[i] for i in np.flatnonzero(y == 0)]):
+        for a, b in zip(tok.first, tok.first[1:], strict=False):
+            at = _at(keys, np.unique(tok.features[a:b]))
+            neg[at[at >= 0]] += 1
     odds = np.log((pos + 0.5) / (n1 + 1)) - np.log((neg + 0.5) / (n0 + 1))
     # a feature counts only if its split between labels is no accident among this many features
     # (with few examples the bar is lower, and the document layer learns to trust single hits less)
     both, share = pos + neg, n1 / len(y)
-    surprise = pos * np.log(np.maximum(pos, 1e-9) / both / share) + neg * np.log(np.maximum(neg, 1e-9) / both / (1 - share))
-    telling = np.flatnonzero((odds > 2.5) & (pos >= 4) & (surprise > min(np.log(len(keys)) + 2, 2 + 0.15 * n1)))
-    telling = _needed(telling[np.argsort(-surprise[telling], kind="stable")[:MOST_FEATURES]], pairs[:, 0].astype(int), inverse, is_toxic == 1, len(y))
+    surprise = pos * np.log(pos / both / share) + neg * np.log(np.maximum(neg, 1e-9) / both / (1 - share))
+    telling = np.flatnonzero((odds > 2.5) & (surprise > min(np.log(4 * number) + 2, 2 + 0.15 * n1)))
+    telling = _needed(telling[np.argsort(-surprise[telling], kind="stable")[:MOST_FEATURES]], [_at(keys, c) for c in carried])
     if not len(telling):
         return empty
     keys = keys[telling]
-    at = np.minimum(np.searchsorted(keys, tok.features), len(keys) - 1)
-    has = keys[at] == tok.features
-    label = (has.any(1) & (y[tok.text] == 1)).astype(float)
     # chains around the tokens that carry a telling feature, and as many drawn evenly from the rest
-    centres = np.flatnonzero(has.any(1))
-    centres = np.unique(np.concatenate([centres // chain, np.arange(0, len(label) // chain, max(1, len(label) // chain // 4000))]))
-    first = centres * chain
-    lengths = np.minimum(chain, len(label) - first)
-    chosen = np.concatenate([np.arange(a, a + n) for a, n in zip(first, lengths, strict=True)])
-    rows, cols = np.nonzero(has[chosen])
-    feats = (rows, at[chosen][rows, cols], first)
+    labels, lengths, token, feature, size, seen = [], [], [], [], 0, 0
+    done = 0
+    for tok in _blocks(low):
+        n = len(tok.first) - 1
+        at = _at(keys, tok.features)
+        label = ((at >= 0).any(1) & (y[done + tok.text] == 1)).astype(float)
+        chains = np.arange(-(-len(label) // chain))
+        hit = np.bincount(np.flatnonzero((at >= 0).any(1)) // chain, minlength=len(chains)) > 0
+        for c in chains[hit | ((chains + seen) % EVERY == 0)].tolist():
+            own = slice(c * chain, min((c + 1) * chain, len(label)))
+            rows, cols = np.nonzero(at[own] >= 0)
+            labels.append(label[own])
+            lengths.append(len(label[own]))
+            token.append(rows + size)
+            feature.append(at[own][rows, cols])
+            size += lengths[-1]
+        seen, done = seen + len(chains), done + n
+    feats, label, lengths = (np.concatenate(token), np.concatenate(feature), None), np.concatenate(labels), np.array(lengths)
     weights, bias, trans = np.zeros(len(keys)), -3.0, np.zeros((2, 2))
     gsum = [np.full(len(keys), 1e-6), 1e-6, np.full((2, 2), 1e-6)]
     for _ in range(steps):
-        gw, gb, gt = _chain_gradient(feats, label[chosen], lengths, weights, bias, trans)
+        gw, gb, gt = _chain_gradient(feats, label, lengths, weights, bias, trans)
         gw, gt = gw - 0.05 * weights, gt - 0.5 * trans
         gsum = [gsum[0] + gw**2, gsum[1] + gb**2, gsum[2] + gt**2]  # adaptive steps
         weights, bias, trans = weights + 0.5 * gw / np.sqrt(gsum[0]), bias + 0.5 * gb / np.sqrt(gsum[1]), trans + 0.2 * gt / np.sqrt(gsum[2])
     return Model(keys, weights, float(bias), trans, np.array([-4.0, 0, 0]))
 
 
-def _needed(ordered: np.ndarray, text: np.ndarray, feature: np.ndarray, is_toxic: np.ndarray, n: int, each: int = 14) -> np.ndarray:
-    """Of features in falling order those that toxic documents need, until each has ``each``.
+def _blocks(texts: list[bytes]):
+    for i, j in batches(texts, BLOCK_BYTES):
+        yield Tokens(texts[i:j])
+
+
+def _at(keys: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """Places among the sorted keys, -1 for what is not there."""
+    at = np.minimum(np.searchsorted(keys, features), len(keys) - 1)
+    return np.where(keys[at] == features, at, -1)
+
 
-    Near copies share all their rare words, and those would otherwise pass for signs of toxicity.
+def _needed(ordered: np.ndarray, carried: list[np.ndarray], each: int = 14) -> np.ndarray:
+    """Of features in falling order those that toxic documents need, until each document has enough.
+
+    Near copies share all their rare words, and those would otherwise pass for signs of toxicity. carried: per
+    toxic document the numbers of its features.
     """
-    own = np.flatnonzero(is_toxic & np.isin(feature, ordered))
-    own = own[np.argsort(feature[own], kind="stable")]
-    sorted_, out, lacks = feature[own], [], np.full(n, each)
+    own = [c[np.isin(c, ordered)] for c in carried]
+    feature, text = np.concatenate(own), np.repeat(np.arange(len(own)), [len(c) for c in own])
+    order = np.argsort(feature, kind="stable")
+    feature, text = feature[order], text[order]
+    out, lacks = [], np.full(len(carried), each)
     for f in ordered.tolist():
-        docs = text[own[np.searchsorted(sorted_, f) : np.searchsorted(sorted_, f, side="right")]]
-        needy = docs[lacks[docs] > 0]
-        if len(needy) >= max(2, len(docs) / 4):
+        docs = text[np.searchsorted(feature, f) : np.searchsorted(feature, f, side="right")]
+        if (lacks[docs] > 0).sum() >= max(2, len(docs) / 4):
             out.append(f)
             lacks[docs] -= 1
     return np.sort(np.array(out, int))
 
 
-def _distinct(tok: Tokens) -> np.ndarray:
-    """(text, feature) once each, text by text."""
-    out = []
-    for i, (a, b) in enumerate(zip(tok.first, tok.first[1:], strict=False)):
-        own = np.unique(tok.features[a:b])
-        out.append(np.stack([np.full(len(own), i, np.uint64), own], 1))
-    return np.concatenate(out)
-
-
 def marginals(tok: Tokens, model: Model, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each text the tokens (numbers within ``tok``) that have weight, and their marginals."""
     emit = model.emissions(tok.features)
