@@ -32,7 +32,7 @@ CORE = 32
 #: Contexts of one anchor within a batch from which it is dealt by whole windows.
 MANY = 16
 #: Records held by a task before it sends them on.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 REMOVE, EXPAND, EXPAND_WINDOWS = 0, 1, 2
 _STEP = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x2F7A1E5C3B9D8467, 0xC2B2AE3D27D4EB4F)]
 
@@ -147,10 +147,10 @@ class _Records:
         self.n = 0
 
     def add(self, uids: np.ndarray, texts: list[bytes]) -> None:
-        for i, j in batches(texts, BLOCK_BYTES):
-            if j - i == 1 and len(texts[i]) > BLOCK_BYTES:
-                for at in range(0, len(texts[i]), BLOCK_BYTES):
-                    part = texts[i][at : at + BLOCK_BYTES + self.window - 1]
+        for i, j in batches(texts, BLOCK_BYTES // 2):
+            if j - i == 1 and len(texts[i]) > BLOCK_BYTES // 2:
+                for at in range(0, len(texts[i]), BLOCK_BYTES // 2):
+                    part = texts[i][at : at + BLOCK_BYTES // 2 + self.window - 1]
                     self._block(np.frombuffer(part, np.uint8), np.array([len(part)]), uids[i : i + 1], np.array([-at]))
             else:
                 ends = np.cumsum([len(t) for t in texts[i:j]])
@@ -258,14 +258,14 @@ def repeats(docs: DataFrame, window: int = 100) -> tuple[DataFrame, int]:
 
     docs: uid and text. The result is two tables in the shared folder; see :func:`removed` for reading it.
     """
-    buckets = homes = buckets_for(docs, 8 << 20)
+    buckets = homes = buckets_for(docs, 4 << 20)
     texts = docs.select("uid", "text")
 
     def scan(batches_in):
         held = _Records(window, buckets, homes)
         for batch in batches_in:
             uid, data = batch.column("uid").to_numpy(), [(t or "").encode() for t in batch.column("text").to_pylist()]
-            for i, j in batches(data, 4 * BLOCK_BYTES):
+            for i, j in batches(data, BLOCK_BYTES):
                 held.add(uid[i:j], data[i:j])
                 if held.n >= FLUSH:
                     yield from rows(held.flush()).to_batches()
