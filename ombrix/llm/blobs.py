@@ -69,8 +69,8 @@ def packed_texts(docs: DataFrame, homes: int) -> DataFrame:
     def pack(batches_in):
         for batch in batches_in:
             at = home(batch.column("uid").to_numpy(), homes)
-            parts = [(int(h), TEXT, batch.take(pa.array(np.flatnonzero(at == h)))) for h in np.unique(at)]
-            for i in range(0, len(parts), 16):
-                yield from rows(parts[i : i + 16]).to_batches()
+            found = np.unique(at)
+            for i in range(0, len(found), 16):
+                yield from rows([(int(h), TEXT, batch.take(pa.array(np.flatnonzero(at == h)))) for h in found[i : i + 16]]).to_batches()
 
     return docs.mapInArrow(pack, SCHEMA)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SpanHasher, documents, mix64
-from .pretoken import ChunkEncoder, batches, held_encoder
+from .pretoken import ChunkEncoder, held_encoder, text_runs
 
 
 def _spans(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,10 +165,9 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame
         encoder = held_encoder(tag, lambda: ChunkEncoder(two_tier(ranks, table, keys, pattern), plain=False))
         decode = Decoder(ranks)
         for batch in batches_in:
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             n, a, b = [], [], []
-            for i, j in batches(texts, 2 << 20):
-                ids, bounds = encoder.encode(texts[i:j])
+            for _, _, texts in text_runs(batch):
+                ids, bounds = encoder.encode(texts)
                 raw = ids.astype("<u4").tobytes()
                 back, at = decode(ids, bounds)
                 n += np.diff(bounds).tolist()

@@ -47,7 +47,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+    """Arrow batches of at most ``most`` bytes, so that a task's memory does not depend on how long texts are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key).lower().rstrip("b")
+    if not held.isdigit() or not 0 < int(held) <= most:
+        spark.conf.set(key, str(most))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -69,6 +78,7 @@ def with_uid(docs: DataFrame, *more: str) -> DataFrame:
     Where doc_id has neither nulls nor repeats, as it should, uid is doc_id. Otherwise rows are range-sorted
     and numbered once, and the numbered table is kept in the shared folder; repeated rows stay separate rows.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
     n, ids, distinct = docs.agg(F.count(F.lit(1)), F.count("doc_id"), F.count_distinct("doc_id")).first()
     if n == ids == distinct:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .blobs import SCHEMA, TEXT, columns_of, dealt, digit, home, of_kind, packed_texts, passed_on, rows, table_of
 from .common import BLOCK_BYTES, buckets_for, documents, mix64, with_uid, written
-from .pretoken import batches
+from .pretoken import batches, text_runs
 from .shingles import Rule, set_key, shingle_sets
 
 #: Records held by a task before it sends them on.
@@ -204,9 +204,9 @@ def clusters(docs: DataFrame, k: int, rule: Rule) -> tuple[DataFrame, DataFrame]
     def scan(batches_in):
         held = _Keys(rule, k, buckets, homes)
         for batch in batches_in:
-            uid, data = batch.column("uid").to_numpy(), [(t or "").encode() for t in batch.column("text").to_pylist()]
-            for i, j in batches(data, 4 * BLOCK_BYTES):
-                held.add(uid[i:j], data[i:j])
+            uid = batch.column("uid").to_numpy()
+            for i, j, data in text_runs(batch):
+                held.add(uid[i:j], data)
                 if held.n >= FLUSH:
                     yield from rows(held.flush()).to_batches()
         yield from rows(held.flush()).to_batches()

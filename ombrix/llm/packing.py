@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, ranked, with_uid, written
-from .pretoken import batches, library_encoder, library_json
+from .pretoken import library_encoder, library_json, text_runs
 
 
 def knapsack(sizes: np.ndarray, values: np.ndarray, limits: np.ndarray | None, capacity: int) -> tuple[float, np.ndarray]:
@@ -220,10 +220,9 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, capacity: int, end_id: in
     def run(batches_in):
         encoder = library_encoder(tokens.value, plain=True)
         for batch in batches_in:
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             row, start, length, crc = [], [], [], []
-            for i, j in batches(texts, 2 << 20):
-                ids, bounds = encoder.encode(texts[i:j])
+            for i, j, texts in text_runs(batch):
+                ids, bounds = encoder.encode(texts)
                 for k in range(j - i):
                     raw = np.append(ids[bounds[k] : bounds[k + 1]], np.uint32(end_id)).astype("<u4").tobytes()
                     for s in range(0, len(raw), 4 * capacity):

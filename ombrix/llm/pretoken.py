@@ -11,6 +11,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import BLOCK_BYTES, SpanHasher
 
@@ -157,6 +159,17 @@ def batches(texts: list, most: int = 8 * BLOCK_BYTES) -> Iterator[tuple[int, int
         yield i, len(texts)
 
 
+def text_runs(batch: pa.RecordBatch, most: int = 2 * BLOCK_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(i, j, texts i to j as UTF-8) of a batch, at most ``most`` bytes at a time; null is empty."""
+    column = batch.column(batch.schema.get_field_index("text"))
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    i, n = 0, batch.num_rows
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + most, side="right")))
+        yield i, j, [b"" if t is None else t.encode() for t in column.slice(i, j - i).to_pylist()]
+        i = j
+
+
 def library_misses(tokenizer) -> Callable[[list[bytes]], list]:
     """Chunks encoded by the tokenizers library itself, as ordinary text."""
     tokenizer.encode_special_tokens = True

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .blobs import SCHEMA, TEXT, columns_of, dealt, digit, home, of_kind, packed_texts, passed_on, rows, table_of
 from .common import BLOCK_BYTES, buckets_for, byte_table, documents, mix64, with_uid, written
-from .pretoken import batches
+from .pretoken import batches, text_runs
 
 CORE = 32
 #: Contexts of one anchor within a batch from which it is dealt by whole windows.
@@ -264,9 +264,9 @@ def repeats(docs: DataFrame, window: int = 100) -> tuple[DataFrame, int]:
     def scan(batches_in):
         held = _Records(window, buckets, homes)
         for batch in batches_in:
-            uid, data = batch.column("uid").to_numpy(), [(t or "").encode() for t in batch.column("text").to_pylist()]
-            for i, j in batches(data, BLOCK_BYTES):
-                held.add(uid[i:j], data[i:j])
+            uid = batch.column("uid").to_numpy()
+            for i, j, data in text_runs(batch):
+                held.add(uid[i:j], data)
                 if held.n >= FLUSH:
                     yield from rows(held.flush()).to_batches()
         yield from rows(held.flush()).to_batches()

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import buckets_for, documents, scratch_path, with_uid, written
-from .pretoken import batches, library_encoder, library_json
+from .pretoken import library_encoder, library_json, text_runs
 
 MAGIC = b"OMBRTOK1"
 _POP8 = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -132,10 +132,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_json: str, end_id: i
             return pa.RecordBatch.from_arrays([pa.array([pack_file(partition, place, np.concatenate(held), bounds, width, names)], pa.binary())], ["payload"])
 
         for batch in batches_in:
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             own = batch.column("doc_id").to_pylist()
-            for i, j in batches(texts, 2 << 20):
-                ids, bounds = encoder.encode(texts[i:j])
+            for i, j, texts in text_runs(batch):
+                ids, bounds = encoder.encode(texts)
                 for k in range(j - i):
                     held.append(np.append(ids[bounds[k] : bounds[k + 1]], np.uint32(end_id)).astype(f"<u{width}"))
                     sizes.append(len(held[-1]))

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, SpanHasher, documents
-from .pretoken import batches
+from .common import BLOCK_BYTES, SpanHasher, bounded_batches, documents
+from .pretoken import batches, text_runs
 
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
@@ -320,8 +320,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches_in):
         for batch in batches_in:
-            ids = batch.column("doc_id").to_pylist()
-            got, spans = score_texts([t or "" for t in batch.column("text").to_pylist()], shared.value)
+            ids, got, spans = batch.column("doc_id").to_pylist(), [], []
+            for _, _, texts in text_runs(batch):
+                some, where = score_texts([t.decode() for t in texts], shared.value)
+                got.append(some)
+                spans += where
+            got = np.concatenate(got) if got else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([held_out(i) for i in ids]), pa.array(got), pa.array((got >= THRESHOLD).astype(np.int32)), pa.array(spans, pa.list_(pa.list_(pa.int64())))], ["doc_id", "held_out", "score", "predicted", "spans"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, spans array<array<long>>")
@@ -334,13 +338,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs whose score stays under THRESHOLD, with all their columns."""
+    bounded_batches(spark)
     model = fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches_in):
         for batch in batches_in:
-            at = batch.schema.names.index("text")
-            got, _ = score_texts([t or "" for t in batch.column(at).to_pylist()], shared.value)
-            yield batch.filter(pa.array(got < THRESHOLD))
+            got = [score_texts([t.decode() for t in texts], shared.value)[0] for _, _, texts in text_runs(batch)]
+            yield batch.filter(pa.array(np.concatenate(got) < THRESHOLD)) if got else batch
 
     return docs.mapInArrow(run, docs.schema)
