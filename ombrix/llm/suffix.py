@@ -95,7 +95,8 @@ def anchors(buf: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray,
     first = np.flatnonzero(change & valid)
     stop = np.flatnonzero(np.append(change[1:] | ~valid[1:], True) & valid)
     context = mix64(whole[first] ^ (mix64(whole[stop] + (stop - first).astype(np.uint64)) >> np.uint64(1)))
-    return first, stop, at[first], core[at[first]], context
+    # anchors are the smallest hashes of all, so they are spread anew before they serve as digits
+    return first, stop, at[first], mix64(core[at[first]] ^ np.uint64(0xA0761D6478BD642F)), context
 
 
 def _orders(uid, first, core, context, off, homes: int, kind, stop) -> list[tuple[int, int, dict]]:
