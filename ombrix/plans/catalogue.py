@@ -210,10 +210,10 @@ def unproject_inverts_projection(spark, d):
     return geometry.unproject(p, P0, FRAME).select("splat_id", *[r6(c, c) for c in "xyz"])
 
 
-SIM = geometry.Sim3(1.5, (0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0), (0.1, -0.2, 0.3))
+SIM = geometry.Sim3(1.7320508, (0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0), (0.1, -0.2, 0.3))
 
 
-@query(f"SELECT splat_id, {s6('-1.5::DOUBLE*y+0.1::DOUBLE', 'x')}, {s6('1.5::DOUBLE*x-0.2::DOUBLE', 'y')}, {s6('1.5::DOUBLE*z+0.3::DOUBLE', 'z')} FROM v_splat", "v_splat")
+@query(f"SELECT splat_id, {s6('-1.7320508::DOUBLE*y+0.1::DOUBLE', 'x')}, {s6('1.7320508::DOUBLE*x-0.2::DOUBLE', 'y')}, {s6('1.7320508::DOUBLE*z+0.3::DOUBLE', 'z')} FROM v_splat", "v_splat")
 def sim3_apply(spark, d):
     return SIM.apply(splats(spark, d)).select("splat_id", *[r6(c, c) for c in "xyz"])
 
