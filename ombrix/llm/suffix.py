@@ -257,7 +257,7 @@ def _spread(data: list[bytes], core, uid, first, off, window: int):
 def repeats(docs: DataFrame, window: int = 100) -> tuple[DataFrame, int]:
     """Orders to remove bytes, packed per home: (bucket, kind, payload), and the number of homes.
 
-    docs: uid and text. The result is two tables in the shared folder; see :func:`removed` for reading it.
+    docs: uid and text. The result is two tables in the shared folder; :func:`with_removals` reads it.
     """
     buckets = homes = buckets_for(docs, 4 << 20)
     texts = docs.select("uid", "text")
