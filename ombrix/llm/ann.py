@@ -23,6 +23,8 @@ SAMPLE = 8192
 #: Codes per query that are compared with the original vectors.
 RERANK = 256
 QUERY_BLOCK, CODE_BLOCK = 256, 1 << 15
+#: Code blocks whose lists for a query block are merged at a time, about.
+MERGE = 24
 
 
 def nearest_words(x: np.ndarray, book: np.ndarray) -> np.ndarray:
@@ -78,24 +80,28 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
     return code, (total**2).sum(1)
 
 
-def shortlist(queries: np.ndarray, query_ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, ids: np.ndarray, books: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, estimate) of each query's ``most`` nearest codes, itself left out; ties to smaller ids."""
+def shortlist(queries: np.ndarray, query_ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, ids: np.ndarray, books: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, estimates), each (queries, most): the nearest codes, itself left out; ties to smaller ids; -1 and inf fill up."""
     table = np.einsum("qd,mwd->mqw", queries.astype(np.float32), books)
     score = np.repeat(norms[None].astype(np.float32), len(queries), 0)
     for m in range(len(books)):
         score -= 2 * table[m][:, codes[:, m]]
     score = np.round(score + (queries.astype(np.float32) ** 2).sum(1)[:, None], 5)
-    out = [], [], []
-    for q in range(len(queries)):
-        own = np.flatnonzero(ids != query_ids[q])
+    score[query_ids[:, None] == ids[None]] = np.inf
+    return best(np.broadcast_to(ids, score.shape), score, most)
+
+
+def best(ids: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` smallest of each row, ties to smaller ids."""
+    out_ids, out = np.full((len(score), most), -1, np.int64), np.full((len(score), most), np.inf, np.float32)
+    for q in range(len(score)):
+        own = np.flatnonzero(np.isfinite(score[q]))
         if len(own) > most:
             border = np.partition(score[q][own], most - 1)[most - 1]
             own = own[score[q][own] <= border]
-            own = own[np.lexsort((ids[own], score[q][own]))[:most]]
-        out[0].append(np.full(len(own), q))
-        out[1].append(ids[own])
-        out[2].append(score[q][own])
-    return tuple(np.concatenate(o) for o in out)
+        own = own[np.lexsort((ids[q][own], score[q][own]))[:most]]
+        out_ids[q, : len(own)], out[q, : len(own)] = ids[q][own], score[q][own]
+    return out_ids, out
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -170,6 +176,9 @@ def search(vectors: DataFrame, is_query, k: int = 10, rerank: int = RERANK) -> D
     # the stated queries against all rows, block by block: every code block goes to every query block once
     met = codes.withColumn("name", F.explode(F.array(*[F.lit(x) for x in names]))).join(blocks, "name")
 
+    def lists(name, slot, qid, found):
+        return pa.table({"name": pa.array([name], pa.int64()), "slot": pa.array([slot], pa.int64()), "query_ids": pa.array([qid.astype("<i8").tobytes()], pa.binary()), "ids": pa.array([found[0].astype("<i8").tobytes()], pa.binary()), "scores": pa.array([found[1].astype("<f4").tobytes()], pa.binary())})
+
     def scan(batches_in):
         books = shared.value
         for batch in batches_in:
@@ -177,12 +186,34 @@ def search(vectors: DataFrame, is_query, k: int = 10, rerank: int = RERANK) -> D
                 qid, ids = np.frombuffer(r["query_ids"], "<i8"), np.frombuffer(r["ids"], "<i8")
                 q = np.frombuffer(r["queries"], "<f8").reshape(len(qid), -1)
                 code, norm = np.frombuffer(r["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(r["norms"], "<f4")
+                found = None
                 for i in range(0, len(ids), 8192):
-                    row, vec, score = shortlist(q, qid, code[i : i + 8192], norm[i : i + 8192], ids[i : i + 8192], books, rerank)
-                    yield pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(vec), pa.array(score.astype(np.float32))], ["query_id", "vec_id", "estimate"])
-
-    found = met.select("query_ids", "queries", "ids", "codes", "norms").mapInArrow(scan, "query_id long, vec_id long, estimate float")
-    kept = found.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy("estimate", "vec_id"))).filter(F.col("place") <= rerank)
+                    new = shortlist(q, qid, code[i : i + 8192], norm[i : i + 8192], ids[i : i + 8192], books, rerank)
+                    found = new if found is None else best(np.concatenate([found[0], new[0]], 1), np.concatenate([found[1], new[1]], 1), rerank)
+                yield from lists(r["name"], int(ids[0]), qid, found).to_batches()
+
+    def merge(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        qid = np.frombuffer(rows[0]["query_ids"], "<i8")
+        ids = [np.frombuffer(r["ids"], "<i8").reshape(len(qid), -1) for r in rows]
+        scores = [np.frombuffer(r["scores"], "<f4").reshape(len(qid), -1) for r in rows]
+        return lists(rows[0]["name"], rows[0]["slot"], qid, best(np.concatenate(ids, 1), np.concatenate(scores, 1), rerank))
+
+    def unpack(batches_in):
+        for batch in batches_in:
+            for r in batch.to_pylist():
+                qid = np.frombuffer(r["query_ids"], "<i8")
+                ids = np.frombuffer(r["ids"], "<i8").reshape(len(qid), -1)
+                row, col = np.nonzero(np.isfinite(np.frombuffer(r["scores"], "<f4").reshape(ids.shape)))
+                yield pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(ids[row, col])], ["query_id", "vec_id"])
+
+    packed = "name long, slot long, query_ids binary, ids binary, scores binary"
+    found = met.select("name", "query_ids", "queries", "ids", "codes", "norms").mapInArrow(scan, packed)
+    left = codes.count()  # code blocks
+    while left > 1:  # lists of a query block meet MERGE at a time
+        left = -(-left // MERGE)
+        found = found.withColumn("slot", F.pmod(F.xxhash64("slot"), F.lit(left))).groupBy("name", "slot").applyInArrow(merge, packed)
+    kept = found.mapInArrow(unpack, "query_id long, vec_id long")
     kept = kept.select("query_id", "vec_id").join(own, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), "query_id")
     square = F.aggregate(F.zip_with("embedding", "query", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
     scored = kept.select("query_id", "vec_id", F.sqrt(square).alias("score"))
