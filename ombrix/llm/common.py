@@ -68,7 +68,9 @@ def source_bytes(df: DataFrame) -> int:
 def buckets_for(df: DataFrame, bytes_each: int = 8 << 20, least: int = 12) -> int:
     """Partitions for a shuffle of about the input's size, at the session's number at least."""
     own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = min(source_bytes(df), 1 << 50)
+    size = source_bytes(df)
+    if size >= 1 << 55:  # the planner knows no size, as for rows that come from the driver
+        size = 0
     return max(least, own if own < 200 else least, math.ceil(size / bytes_each))
 
 
