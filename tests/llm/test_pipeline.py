@@ -10,7 +10,7 @@ def test_stages(spark, tmp_path):
     clean = [(i, t) for i, t, y in labelled(300) if not y]
     near = [(1000 + i, t + " extra") for i, t in clean if len(t.split()) > 40][:20]
     passage = " ".join(f"shared{rnd.randrange(50)}" for _ in range(60))
-    shared = [(2000 + i, f"opening {i} {passage} closing {i * 7}") for i in range(2)]
+    shared = [(2000 + i, " ".join(f"open{i}x{k}" for k in range(60)) + f" {passage} closing {i}") for i in range(2)]
     docs = spark.createDataFrame([(i, t, "en", "src", len(t)) for i, t in rows + near + shared], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, y) for i, _, y in labelled(300)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
@@ -25,6 +25,6 @@ def test_stages(spark, tmp_path):
     cut = corpus_pipeline.drop_repeated_passages(spark, one, str(tmp_path))
     assert cut.columns == names and cut.count() == one.count()
     text = {r.doc_id: r.text for r in cut.collect()}
-    assert passage in text.get(2000, "") and passage not in text.get(2001, passage if 2001 not in text else "")
+    assert passage in text[2000] and passage not in text[2001]
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == left
