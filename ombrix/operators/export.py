@@ -6,7 +6,9 @@ import struct
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .geometry import logit, rgb_to_sh_dc
@@ -14,6 +16,8 @@ from .geometry import logit, rgb_to_sh_dc
 #: Tints of observed and guessed splats.
 TINTS = {"r": (0.25, 0.95), "g": (0.80, 0.35), "b": (0.40, 0.25)}
 SH_REST = 45
+#: Rows that a range of the significance order holds, about, and sampled rows for each bound between ranges.
+RANGE_ROWS, BOUND_ROWS, MOST_RANGES = 1 << 14, 64, 4096
 
 
 def provenance_tint(cloud: DataFrame) -> DataFrame:
@@ -27,6 +31,36 @@ def by_significance(cloud: DataFrame) -> DataFrame:
     return cloud.withColumn("significance", F.col("opacity") * F.col("scale") * F.col("scale") * F.col("scale"))
 
 
+def significance_order(cloud: DataFrame, name: str = "ord") -> DataFrame:
+    """Adds significance and ``name``: each splat's place from 1 in the compact file, by (significance descending, splat_id).
+
+    Rows are dealt to ranges of that order, placed inside their range, and the sizes of the ranges before are added.
+    A sample gives the ranges' bounds only; every row is placed. Rows without significance come last.
+    """
+    cloud = by_significance(cloud)
+    n = cloud.count()
+    ranges = max(64, min(MOST_RANGES, n // RANGE_ROWS))
+    sample = cloud.filter(F.col("significance").isNotNull() & F.col("splat_id").isNotNull() & (F.pmod(F.xxhash64("splat_id"), F.lit(max(1, n // (BOUND_ROWS * ranges)))) == 0))
+    rows = sample.select("significance", "splat_id").orderBy(F.desc("significance"), "splat_id").collect()
+    bounds = [rows[i * len(rows) // ranges] for i in range(1, ranges)] if rows else []
+    range_ = F.lit(0)
+    if bounds:
+        steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+        values, ids = F.lit(np.array([float(r.significance) for r in bounds])), F.lit(np.array([r.splat_id for r in bounds], np.int64))
+
+        def bisect(at, step):  # the bounds that come before a row
+            value, own = F.try_element_at(values, at + step), F.try_element_at(ids, at + step)
+            after = F.col("significance").isNull() | (value > F.col("significance")) | ((value == F.col("significance")) & (own < F.col("splat_id")))
+            return F.when((at + step <= len(bounds)) & after, at + step).otherwise(at)
+
+        range_ = F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), bisect)
+    cloud = cloud.withColumn("_range", range_)
+    sizes = cloud.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
+    inner = cloud.withColumn("_place", F.row_number().over(W.partitionBy("_range").orderBy(F.desc("significance"), "splat_id")))
+    return inner.join(F.broadcast(before), "_range").withColumn(name, (F.col("_before") + F.col("_place")).cast("long")).drop("_range", "_place", "_before")
+
+
 def _with_defaults(cloud: DataFrame) -> DataFrame:
     extra = {"qw": F.lit(1.0), "qx": F.lit(0.0), "qy": F.lit(0.0), "qz": F.lit(0.0)}
     return cloud.withColumns({k: v for k, v in extra.items() if k not in cloud.columns})
