@@ -1,9 +1,12 @@
-"""Approximate nearest neighbours by additive quantisation, with exact reranking.
+"""Nearest neighbours by additive quantisation, with exact reranking of all that the codes cannot rule out.
 
 Codebooks have the vectors' full dimension; a vector is coded as a sum of one word from each, found by beam search
-over residuals, and the squared norm of that sum is kept with the code. A query tabulates its products with all words;
-a code's distance is then a norm and a few table entries. Queries and codes meet block by block, each block pair
-gives every query's nearest RERANK codes, the nearest RERANK of all are kept, and their original vectors decide.
+over residuals, and the squared norm of that sum and its distance from the vector (the code's error) are kept with the code.
+Vectors are centred and scaled for that by the sample's mean and size. A query tabulates its products with all words;
+a code's distance is then a norm and a few table entries, and that distance less the code's error is a lower bound of the
+vector's own. Queries and codes meet block by block. In each block the RERANK nearest codes are compared by their
+original vectors, then, RERANK at a time, all others whose lower bound does not exceed the k-th distance found. The k nearest of
+all blocks are kept: ties and close vectors, however many, cost comparisons and lose nothing.
 
 Codebooks are fitted on the SAMPLE vectors of smallest id hash (a bound, whatever the corpus); all vectors are indexed.
 """
@@ -13,16 +16,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_batches, written
 
 BOOKS, WORDS, BEAM = 32, 256, 4
 SAMPLE = 8192
-#: Codes per query that are compared with the original vectors.
+#: Codes per query and block that are compared with the original vectors at a time.
 RERANK = 256
-QUERY_BLOCK, CODE_BLOCK = 256, 1 << 15
+#: Rows of a block, and bytes of a code block's vectors.
+QUERY_BLOCK, CODE_BLOCK, CODE_BYTES = 256, 1 << 15, 8 << 20
+#: Rows that are scored at a time.
+SCORED = 8192
 #: Code blocks whose lists for a query block are merged at a time, about.
 MERGE = 24
 
@@ -53,13 +58,27 @@ def fit_books(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int
     return np.stack(out)
 
 
-def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """(n, books) codes and the squared norms of the sums, by beam search."""
+def scale_of(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """The mean, and the root mean square of the distances from it (1 if that is zero or no number)."""
+    most = np.abs(x).max() or 1.0
+    mean = (x / most).mean(0)
+    size = float(np.sqrt((((x / most) - mean) ** 2).sum(1).mean()) * most)
+    return mean * most, size if 0 < size < np.inf else 1.0
+
+
+def scaled(x: np.ndarray, mean: np.ndarray, size: float) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors less the mean over the size, and how far rounding may have moved each."""
+    with np.errstate(over="ignore"):
+        return (x - mean) / size, 1e-15 * (np.linalg.norm(x, axis=1) + np.linalg.norm(mean)) / size
+
+
+def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n, books) codes by beam search, the squared norms of the sums, and the sums' distances from the vectors."""
     n, d = x.shape
     m, words, _ = books.shape
     if not n:
-        return np.zeros((0, m), np.uint8), np.zeros(0, np.float32)
-    rest = x.astype(np.float32)[:, None, :]
+        return np.zeros((0, m), np.uint8), np.zeros(0), np.zeros(0)
+    rest = np.clip(x, -1e15, 1e15).astype(np.float32)[:, None, :]
     codes = np.zeros((n, 1, 0), np.uint8)
     for level in range(m):
         book = books[level]
@@ -74,34 +93,64 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
         rest = rest[row, at] - book[word]
         codes = np.concatenate([codes[row, at], word[:, :, None].astype(np.uint8)], 2)
     code = codes[:, 0]
-    total = np.zeros((n, d), np.float32)
+    total = np.zeros((n, d))
     for level in range(m):
         total += books[level][code[:, level]]
-    return code, (total**2).sum(1)
-
-
-def shortlist(queries: np.ndarray, query_ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, ids: np.ndarray, books: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, estimates), each (queries, most): the nearest codes, itself left out; ties to smaller ids; -1 and inf fill up."""
-    table = np.einsum("qd,mwd->mqw", queries.astype(np.float32), books)
-    score = np.repeat(norms[None].astype(np.float32), len(queries), 0)
-    for m in range(len(books)):
-        score -= 2 * table[m][:, codes[:, m]]
-    score = np.round(score + (queries.astype(np.float32) ** 2).sum(1)[:, None], 5)
-    score[query_ids[:, None] == ids[None]] = np.inf
-    return best(np.broadcast_to(ids, score.shape), score, most)
-
-
-def best(ids: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``most`` smallest of each row, ties to smaller ids."""
-    out_ids, out = np.full((len(score), most), -1, np.int64), np.full((len(score), most), np.inf, np.float32)
-    for q in range(len(score)):
-        own = np.flatnonzero(np.isfinite(score[q]))
-        if len(own) > most:
-            border = np.partition(score[q][own], most - 1)[most - 1]
-            own = own[score[q][own] <= border]
-        own = own[np.lexsort((ids[q][own], score[q][own]))[:most]]
-        out_ids[q, : len(own)], out[q, : len(own)] = ids[q][own], score[q][own]
-    return out_ids, out
+    with np.errstate(over="ignore"):
+        return code, (total**2).sum(1), np.sqrt(((x - total) ** 2).sum(1))
+
+
+def tabulate(queries: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(books, queries, words) products, the queries' squared norms, and how far rounding may move an estimated square."""
+    m, words, d = books.shape
+    books = books.astype(np.float64)
+    with np.errstate(over="ignore", invalid="ignore"):
+        table = (queries @ books.reshape(-1, d).T).reshape(len(queries), m, words).transpose(1, 0, 2)
+        square = (queries**2).sum(1)
+        reach = np.sqrt((books**2).sum(2).max(1)).sum()
+        return np.ascontiguousarray(table), square, 2.3e-16 * (2 * d + 100) * (np.sqrt(square) + reach) ** 2
+
+
+def estimates(tables: tuple[np.ndarray, np.ndarray, np.ndarray], codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """(queries, n) squared distances from the sums that the codes stand for."""
+    table, square, _ = tables
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = square[:, None] + norms[None]
+        for m in range(len(table)):
+            out -= 2 * table[m].take(codes[:, m], axis=1)
+    return out
+
+
+def distances(query: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Euclidean distances from (dimension, n) columns, summed in the order of components."""
+    total = np.zeros(columns.shape[1])
+    with np.errstate(over="ignore"):
+        for own, column in zip(query, columns, strict=True):
+            step = column - own
+            total += step * step
+    return np.sqrt(total)
+
+
+def nearest(query: np.ndarray, ids: np.ndarray, columns: np.ndarray, guess: np.ndarray, lower: np.ndarray, found: tuple[np.ndarray, np.ndarray], k: int, step: int, size: float) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, distances) of the k nearest of ``found`` and the columns, by (distance, id).
+
+    guess: where to look first; lower: bounds of the distances over ``size``, infinite for columns that do not take part.
+    Columns are compared ``step`` at a time until the bounds of the others exceed the k-th distance.
+    """
+    left = np.flatnonzero(~(lower == np.inf))
+    best_ids, best = found
+    while len(left):
+        if len(best) == k:
+            left = left[~(lower[left] > best[-1] / size * (1 + 1e-9))]
+        if len(left) > step:
+            order = np.argpartition(guess[left], step)
+            own, left = left[order[:step]], left[order[step:]]
+        else:
+            own, left = left, left[:0]
+        best_ids, best = np.concatenate([best_ids, ids[own]]), np.concatenate([best, distances(query, columns[:, own])])
+        order = np.lexsort((best_ids, best))[:k]
+        best_ids, best = best_ids[order], best[order]
+    return best_ids, best
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -125,40 +174,50 @@ def _matrix(column, n: int) -> np.ndarray:
 
 
 def search(vectors: DataFrame, is_query, k: int = 10, rerank: int = RERANK) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k nearest found by Euclidean distance, ties to smaller vec_id.
+    """(query_id, rank, vec_id, score): each query's k nearest by Euclidean distance, ties to smaller vec_id.
 
     is_query: a condition on vec_id. Every usable row (see :func:`usable`) but the query's own is a candidate.
     """
     spark = vectors.sparkSession
+    bounded_batches(spark)
     schema = "query_id long, rank int, vec_id long, score double"
     own = written(usable(vectors), "vectors")
     sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     if not sample:
         return spark.createDataFrame([], schema)
-    shared = spark.sparkContext.broadcast(fit_books(np.array([r.embedding for r in sample])))
+    sampled = np.array([r.embedding for r in sample])
+    mean, size = scale_of(sampled)
+    shared = spark.sparkContext.broadcast((fit_books(scaled(sampled, mean, size)[0]), mean, size))
+    rows_each = max(1, min(CODE_BLOCK, CODE_BYTES // (8 * len(mean))))
 
     def index(batches_in):
+        books, mean, size = shared.value
         for batch in batches_in:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
-                codes, norms = encode(_matrix(part.column("embedding"), part.num_rows), shared.value)
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32())], ["vec_id", "code", "norm"])
+                x = _matrix(part.column("embedding"), part.num_rows)
+                own, moved = scaled(x, mean, size)
+                codes, norms, errors = encode(own, books)
+                columns = [part.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(errors * (1 + 1e-9) + moved), pa.array([r.tobytes() for r in x.astype("<f8")], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["vec_id", "code", "norm", "error", "vector"])
 
     def code_blocks(batches_in):
         held, n = [], 0
 
-        def block():
-            t = pa.Table.from_batches(held)
-            return pa.RecordBatch.from_arrays([pa.array([t.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([b"".join(t.column("code").to_pylist())], pa.binary()), pa.array([t.column("norm").to_numpy().astype("<f4").tobytes()], pa.binary())], ["ids", "codes", "norms"])
+        def block(t):
+            raw = [t.column(c).to_numpy().astype(f).tobytes() for c, f in (("vec_id", "<i8"), ("norm", "<f8"), ("error", "<f8"))]
+            raw += [b"".join(t.column(c).to_pylist()) for c in ("code", "vector")]
+            return pa.RecordBatch.from_arrays([pa.array([r], pa.binary()) for r in raw], ["ids", "norms", "errors", "codes", "vectors"])
 
         for batch in batches_in:
             held.append(batch)
             n += batch.num_rows
-            if n >= CODE_BLOCK:
-                yield block()
-                held, n = [], 0
+            while n >= rows_each:
+                t = pa.Table.from_batches(held)
+                yield block(t.slice(0, rows_each))
+                held, n = t.slice(rows_each).to_batches(), n - rows_each
         if n:
-            yield block()
+            yield block(pa.Table.from_batches(held))
 
     def query_blocks(batches_in):
         for batch in batches_in:
@@ -166,59 +225,65 @@ def search(vectors: DataFrame, is_query, k: int = 10, rerank: int = RERANK) -> D
                 part = batch.slice(i, QUERY_BLOCK)
                 yield pa.RecordBatch.from_arrays([pa.array([part.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([_matrix(part.column("embedding"), part.num_rows).astype("<f8").tobytes()], pa.binary())], ["query_ids", "queries"])
 
-    codes = written(own.mapInArrow(index, "vec_id long, code binary, norm float").mapInArrow(code_blocks, "ids binary, codes binary, norms binary"), "index")
+    coded = own.mapInArrow(index, "vec_id long, code binary, norm double, error double, vector binary")
+    codes = written(coded.mapInArrow(code_blocks, "ids binary, norms binary, errors binary, codes binary, vectors binary"), "index")
     asked = own.filter(is_query(F.col("vec_id")))
     blocks = asked.repartition(max(1, -(-asked.count() // (4 * QUERY_BLOCK)))).mapInArrow(query_blocks, "query_ids binary, queries binary")
     blocks = written(blocks.withColumn("name", F.monotonically_increasing_id()), "queries")
-    names = [r.name for r in blocks.select("name").collect()]  # one per QUERY_BLOCK queries
-    if not names:
-        return spark.createDataFrame([], schema)
-    # the stated queries against all rows, block by block: every code block goes to every query block once
-    met = codes.withColumn("name", F.explode(F.array(*[F.lit(x) for x in names]))).join(blocks, "name")
+    # the stated queries against all rows, block by block: every code block meets every query block once, unshuffled
+    met = codes.hint("shuffle_replicate_nl").crossJoin(blocks)
 
     def lists(name, slot, qid, found):
-        return pa.table({"name": pa.array([name], pa.int64()), "slot": pa.array([slot], pa.int64()), "query_ids": pa.array([qid.astype("<i8").tobytes()], pa.binary()), "ids": pa.array([found[0].astype("<i8").tobytes()], pa.binary()), "scores": pa.array([found[1].astype("<f4").tobytes()], pa.binary())})
+        """Of queries' (ids, distances): k places each, those that stay empty without a distance."""
+        ids, scores = np.zeros((len(qid), k), "<i8"), np.full((len(qid), k), np.nan, "<f8")
+        for i, (own, score) in enumerate(found):
+            ids[i, : len(own)], scores[i, : len(own)] = own, score
+        return pa.table({"name": pa.array([name], pa.int64()), "slot": pa.array([slot], pa.int64()), "query_ids": pa.array([qid.astype("<i8").tobytes()], pa.binary()), "ids": pa.array([ids.tobytes()], pa.binary()), "scores": pa.array([scores.tobytes()], pa.binary())})
 
     def scan(batches_in):
-        books = shared.value
+        books, mean, size = shared.value
         for batch in batches_in:
-            for r in batch.to_pylist():
+            for j in range(batch.num_rows):
+                r = batch.slice(j, 1).to_pylist()[0]
                 qid, ids = np.frombuffer(r["query_ids"], "<i8"), np.frombuffer(r["ids"], "<i8")
-                q = np.frombuffer(r["queries"], "<f8").reshape(len(qid), -1)
-                code, norm = np.frombuffer(r["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(r["norms"], "<f4")
-                found = None
-                for i in range(0, len(ids), 8192):
-                    new = shortlist(q, qid, code[i : i + 8192], norm[i : i + 8192], ids[i : i + 8192], books, rerank)
-                    found = new if found is None else best(np.concatenate([found[0], new[0]], 1), np.concatenate([found[1], new[1]], 1), rerank)
+                q, x = np.frombuffer(r["queries"], "<f8").reshape(len(qid), -1), np.frombuffer(r["vectors"], "<f8").reshape(len(ids), -1)
+                code, norm, error = np.frombuffer(r["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(r["norms"], "<f8"), np.frombuffer(r["errors"], "<f8")
+                own, moved = scaled(q, mean, size)
+                tables = tabulate(own, books)
+                found = [(np.zeros(0, np.int64), np.zeros(0))] * len(qid)
+                for i in range(0, len(ids), SCORED):
+                    at = slice(i, i + SCORED)
+                    guess = estimates(tables, code[at], norm[at])
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        lower = np.sqrt(np.maximum(guess - tables[2][:, None], 0)) - error[at][None] - moved[:, None]
+                    lower[qid[:, None] == ids[at][None]] = np.inf
+                    columns = np.ascontiguousarray(x[at].T)
+                    found = [nearest(q[n], ids[at], columns, guess[n], lower[n], found[n], k, rerank, size) for n in range(len(qid))]
                 yield from lists(r["name"], int(ids[0]), qid, found).to_batches()
 
     def merge(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         qid = np.frombuffer(rows[0]["query_ids"], "<i8")
-        ids = [np.frombuffer(r["ids"], "<i8").reshape(len(qid), -1) for r in rows]
-        scores = [np.frombuffer(r["scores"], "<f4").reshape(len(qid), -1) for r in rows]
-        return lists(rows[0]["name"], rows[0]["slot"], qid, best(np.concatenate(ids, 1), np.concatenate(scores, 1), rerank))
+        ids = np.concatenate([np.frombuffer(r["ids"], "<i8").reshape(len(qid), -1) for r in rows], 1)
+        scores = np.concatenate([np.frombuffer(r["scores"], "<f8").reshape(len(qid), -1) for r in rows], 1)
+        best = [np.lexsort((ids[n], scores[n]))[:k] for n in range(len(qid))]  # places without a distance sort last
+        return lists(rows[0]["name"], rows[0]["slot"], qid, [(ids[n][b], scores[n][b]) for n, b in enumerate(best)])
 
     def unpack(batches_in):
         for batch in batches_in:
             for r in batch.to_pylist():
                 qid = np.frombuffer(r["query_ids"], "<i8")
-                ids = np.frombuffer(r["ids"], "<i8").reshape(len(qid), -1)
-                row, col = np.nonzero(np.isfinite(np.frombuffer(r["scores"], "<f4").reshape(ids.shape)))
-                yield pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(ids[row, col])], ["query_id", "vec_id"])
+                ids, scores = np.frombuffer(r["ids"], "<i8").reshape(len(qid), -1), np.frombuffer(r["scores"], "<f8").reshape(len(qid), -1)
+                row, col = np.nonzero(~np.isnan(scores))
+                yield pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array((col + 1).astype(np.int32)), pa.array(ids[row, col]), pa.array(scores[row, col])], ["query_id", "rank", "vec_id", "score"])
 
     packed = "name long, slot long, query_ids binary, ids binary, scores binary"
-    found = met.select("name", "query_ids", "queries", "ids", "codes", "norms").mapInArrow(scan, packed)
+    found = met.mapInArrow(scan, packed)
     left = codes.count()  # code blocks
     while left > 1:  # lists of a query block meet MERGE at a time
         left = -(-left // MERGE)
         found = found.withColumn("slot", F.pmod(F.xxhash64("slot"), F.lit(left))).groupBy("name", "slot").applyInArrow(merge, packed)
-    kept = found.mapInArrow(unpack, "query_id long, vec_id long")
-    kept = kept.select("query_id", "vec_id").join(own, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), "query_id")
-    square = F.aggregate(F.zip_with("embedding", "query", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
-    scored = kept.select("query_id", "vec_id", F.sqrt(square).alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.mapInArrow(unpack, schema)
 
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
