@@ -32,7 +32,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(with_uid(docs), library_json(None, "word_bpe_49k.json"))
+    return packing.pack_documents(with_uid(docs), library_json(None, "word_bpe_49k.json"), added=True)
 
 
 STAGES = [

@@ -213,12 +213,12 @@ class Plan:
                     self.free.setdefault(rest, []).append((first, take))
 
 
-def token_pieces(docs: DataFrame, tokenizer_json: str, capacity: int, end_id: int = 0) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_json: str, capacity: int, end_id: int = 0, added: bool = False) -> DataFrame:
     """(uid, doc_id, piece, start, length, ids_crc32): ids and the end id, cut every ``capacity`` ids."""
     tokens = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def run(batches_in):
-        encoder = library_encoder(tokens.value, plain=True)
+        encoder = library_encoder(tokens.value, plain=True, added=added)
         for batch in batches_in:
             row, start, length, crc = [], [], [], []
             for i, j, texts in text_runs(batch):
@@ -261,15 +261,15 @@ def _bisect() -> str:
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer_json: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_json: str, capacity: int = 2048, end_id: int = 0, added: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null text is empty and holds the end id alone. Rows that repeat a doc_id are packed each on its own (their
-    order is by text). An empty table gives no rows.
+    order is by text). An empty table gives no rows. added: literal added tokens get their ids, as is the library's default.
     """
-    pieces = written(token_pieces(docs, tokenizer_json, capacity, end_id), "pieces")
+    pieces = written(token_pieces(docs, tokenizer_json, capacity, end_id, added), "pieces")
     return pack(pieces, capacity).drop("uid")
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    return pack_documents(with_uid(documents(spark, sf_dir)), library_json(tokenizer, "word_bpe_49k.json"))
+    return pack_documents(with_uid(documents(spark, sf_dir)), library_json(tokenizer, "word_bpe_49k.json"), added=True)

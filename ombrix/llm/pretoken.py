@@ -170,9 +170,25 @@ def text_runs(batch: pa.RecordBatch, most: int = 2 * BLOCK_BYTES) -> Iterator[tu
         i = j
 
 
-def library_misses(tokenizer) -> Callable[[list[bytes]], list]:
-    """Chunks encoded by the tokenizers library itself, as ordinary text."""
-    tokenizer.encode_special_tokens = True
+class WholeEncoder:
+    """As :class:`ChunkEncoder`, each text in one piece: for tokenizers whose added tokens may reach over a cut."""
+
+    def __init__(self, misses: Callable[[list[bytes]], list]):
+        self.misses = misses
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.misses(texts)
+        return np.array([x for y in ids for x in y], np.uint32), np.cumsum([0, *map(len, ids)], dtype=np.int64)
+
+
+def local(tokenizer) -> bool:
+    """Whether no added token holds white space or takes in what follows it, so that chunks hold added tokens whole."""
+    return not any(t.rstrip or any(c.isspace() for c in t.content) for t in tokenizer.get_added_tokens_decoder().values())
+
+
+def library_misses(tokenizer, added: bool = False) -> Callable[[list[bytes]], list]:
+    """Chunks encoded by the tokenizers library itself. added: literal added tokens get their ids, as is the library's default."""
+    tokenizer.encode_special_tokens = not added
 
     def misses(chunks: list[bytes]) -> list:
         return [e.ids for e in tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
@@ -183,20 +199,25 @@ def library_misses(tokenizer) -> Callable[[list[bytes]], list]:
 _held: dict = {}
 
 
-def held_encoder(key: str, make: Callable[[], ChunkEncoder]) -> ChunkEncoder:
+def held_encoder(key: str, make: Callable[[], ChunkEncoder | WholeEncoder]) -> ChunkEncoder | WholeEncoder:
     """One encoder per worker process and vocabulary, so that the memo outlives a task."""
     if key not in _held:
         _held[key] = make()
     return _held[key]
 
 
-def library_encoder(json_text: str, plain: bool) -> ChunkEncoder:
+def library_encoder(json_text: str, plain: bool, added: bool = False) -> ChunkEncoder | WholeEncoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
-    return held_encoder(f"library:{plain}:{hash(json_text)}", lambda: ChunkEncoder(library_misses(Tokenizer.from_str(json_text)), plain))
+    def make():
+        tokenizer = Tokenizer.from_str(json_text)
+        misses = library_misses(tokenizer, added)
+        return WholeEncoder(misses) if added and not local(tokenizer) else ChunkEncoder(misses, plain)
+
+    return held_encoder(f"library:{plain}:{added}:{hash(json_text)}", make)
 
 
 def library_json(path: str | None, name: str) -> str:

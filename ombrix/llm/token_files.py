@@ -107,7 +107,7 @@ def unpack_file(data: bytes) -> tuple[int, int, list, EliasFano, np.ndarray]:
     return partition, place, [None] * nulls + [least + x for x in names.all().tolist()], bounds, np.frombuffer(data, f"<u{width}", n, 64 + size + more)
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_json: str, end_id: int = 0, file_ids: int = 1 << 21) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer_json: str, end_id: int = 0, file_ids: int = 1 << 21, added: bool = False) -> None:
     """Encodes every whole text in ascending (doc_id, text) order into token files in the folder ``path``.
 
     docs: uid, doc_id, text. A range partition by uid makes the order; no task holds more than a file's ids and a batch of texts.
@@ -120,9 +120,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_json: str, end_id: i
     def run(batches_in):
         import json
 
-        encoder = library_encoder(tokens.value, plain=False)
-        top = max(max(json.loads(tokens.value)["model"]["vocab"].values()), end_id) if not hasattr(encoder, "top") else encoder.top
-        encoder.top = top
+        encoder = library_encoder(tokens.value, plain=False, added=added)
+        if not hasattr(encoder, "top"):
+            known = json.loads(tokens.value)
+            encoder.top = max(*known["model"]["vocab"].values(), *(t["id"] for t in known.get("added_tokens") or []))
+        top = max(encoder.top, end_id)
         width = 2 if top < 1 << 16 else 4
         partition, place = TaskContext.get().partitionId(), 0
         held, sizes, names, total = [], [], [], 0
@@ -166,14 +168,14 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "doc_id long, partition int, place int, local long, n_tokens long, ids_crc32 long")
 
 
-def token_files(spark: SparkSession, docs: DataFrame, tokenizer_json: str, path: str | None = None, end_id: int = 0) -> DataFrame:
+def token_files(spark: SparkSession, docs: DataFrame, tokenizer_json: str, path: str | None = None, end_id: int = 0, added: bool = False) -> DataFrame:
     """Writes the files, reads them back and returns (doc_id, start, n_tokens, ids_crc32).
 
     ``start`` adds the ids of all files before, a sum over one row per file. Null text: only the end id. Null
     doc_id comes first; rows with equal doc_id follow each other by text. An empty table gives no files, no rows.
     """
     path = path or scratch_path(spark, "tokens")
-    write_token_files(docs, path, tokenizer_json, end_id)
+    write_token_files(docs, path, tokenizer_json, end_id, added=added)
     rows = written(read_token_files(spark, path), "rows")
     files = rows.groupBy("partition", "place").agg(F.sum("n_tokens").alias("_n"))
     parts = files.groupBy("partition").agg(F.sum("_n").alias("_p"))
@@ -183,4 +185,4 @@ def token_files(spark: SparkSession, docs: DataFrame, tokenizer_json: str, path:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    return token_files(spark, with_uid(documents(spark, sf_dir)), library_json(tokenizer, "byte_bpe_50k.json"))
+    return token_files(spark, with_uid(documents(spark, sf_dir)), library_json(tokenizer, "byte_bpe_50k.json"), added=True)
