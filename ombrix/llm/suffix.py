@@ -1,6 +1,6 @@
-"""Repeated byte strings by a depth-limited radix sort of suffixes, most significant digit first.
+"""Repeated byte strings by minimiser anchors and grouping by hashes, in place of a depth-limited radix sort of suffixes.
 
-Suffixes are told apart only through ``window`` bytes. The digits of that key are not read left to right: the first one is
+Suffixes are told apart only through ``window`` bytes, and none is ordered by them. The first part of a window's key is
 the window's *anchor*, the gram of CORE bytes in it whose hash is smallest (leftmost among equals). Equal windows
 have equal anchors at equal places, and neighbouring windows share one, so the first pass deals about one record per
 35 bytes, not one per byte:
@@ -10,7 +10,7 @@ have equal anchors at equal places, and neighbouring windows share one, so the f
 2. where an anchor has several contexts, the windows of each context's first run are dealt by the remaining bytes;
    equal groups are exactly the repeated windows, and all but the earliest of a group are removed.
 
-Digits are compared by 64-bit hashes, two of them (anchor and rest) for any verdict of equality. Records travel packed in
+Parts of the key are compared by 64-bit hashes, two of them (anchor and rest) for any verdict of equality. Records travel packed in
 Arrow buffers, one per bucket of digits, and every batch settles what repeats inside it first. So a bucket gets a
 record per batch and string at most, however often a string occurs; an anchor that has many contexts within a batch is
 dealt by whole windows at once.
