@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SpanHasher, documents, mix64
-from .pretoken import ChunkEncoder, held_encoder, text_runs
+from .pretoken import FINE_PATTERNS, ChunkEncoder, held_encoder, text_runs
 
 
 def _spans(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,7 +162,7 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame
     def run(batches_in):
         ranks, table, keys = shared.value
         tag = f"bpe:{len(keys)}:{hash(pattern)}:{hash(keys[-1])}:{hash(keys[len(keys) // 2])}"
-        encoder = held_encoder(tag, lambda: ChunkEncoder(two_tier(ranks, table, keys, pattern), plain=False))
+        encoder = held_encoder(tag, lambda: ChunkEncoder(two_tier(ranks, table, keys, pattern), plain=False, fine=pattern == FINE_PATTERNS[1]))
         decode = Decoder(ranks)
         for batch in batches_in:
             n, a, b = [], [], []

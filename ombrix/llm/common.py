@@ -10,6 +10,7 @@ Conventions that every operator keeps:
 
 from __future__ import annotations
 
+import hashlib
 import math
 import tempfile
 import uuid
@@ -119,27 +120,56 @@ def byte_table(seed: int) -> np.ndarray:
     return mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
 
+#: Bytes of a span that are mixed array-wise; longer spans are digested one by one.
+_SHORT = 512
+_MASK8 = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def words_of(buf: np.ndarray) -> np.ndarray:
+    """Of each place of ``buf`` the 8 bytes from there on, as a little-endian number; zeros follow the end."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+
+
 class SpanHasher:
-    """64-bit hashes of arbitrary byte spans of a buffer, all at once: a polynomial over prefix sums."""
+    """64-bit hashes of byte spans of a buffer, all at once: every 8 bytes go through a full mixing step.
 
-    STEP = 0x2545F4914F6CDD1D
+    Spans beyond 512 bytes add a BLAKE2 digest of their rest. Whoever needs equality of spans compares them (:func:`same_spans`).
+    """
 
     def __init__(self, seed: int = 11):
-        self.table, self.n = byte_table(seed), 0
-
-    def _grow(self, n: int) -> None:
-        if n > self.n:
-            n = max(n, 1 << 16)
-            inverse = pow(self.STEP, -1, 1 << 64)
-            steps = np.full(n, self.STEP, np.uint64)
-            steps[0] = 1
-            back = np.full(n, inverse, np.uint64)
-            back[0] = 1
-            self.up, self.down, self.n = np.cumprod(steps, dtype=np.uint64), np.cumprod(back, dtype=np.uint64), n
-
-    def __call__(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        self._grow(len(buf) + 1)
-        sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(self.table[buf] * self.up[: len(buf)], dtype=np.uint64, out=sums[1:])
-        span = (sums[ends] - sums[starts]) * self.down[starts]
-        return mix64(span + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.seed = np.uint64(seed * 0x9E3779B97F4A7C15 & _MASK)
+
+    def __call__(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
+        words = words_of(buf) if words is None else words
+        n = ends - starts
+        h = n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + self.seed
+        own, at, left = slice(None), starts, n
+        for done in range(0, _SHORT, 8):
+            h[own] = mix64(h[own] ^ (words[at] & _MASK8[np.minimum(left, 8)]))
+            more = np.flatnonzero(n > done + 8) if done == 0 else own[left > 8]
+            if not len(more):
+                return h
+            own, at, left = more, starts[more] + done + 8, n[more] - done - 8
+        for i in own.tolist():
+            rest = hashlib.blake2b(buf[starts[i] + _SHORT : ends[i]].tobytes(), digest_size=8).digest()
+            h[i : i + 1] = mix64(h[i : i + 1] ^ np.frombuffer(rest, np.uint64))
+        return h
+
+
+def same_spans(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, n: np.ndarray, words_a=None, words_b=None) -> np.ndarray:
+    """Whether the n bytes of ``a`` from at_a on equal those of ``b`` from at_b on, for all spans at once."""
+    words_a = words_of(a) if words_a is None else words_a
+    words_b = words_of(b) if words_b is None else words_b
+    same = np.ones(len(n), bool)
+    own = np.flatnonzero(n > 0)
+    for done in range(0, _SHORT, 8):
+        left = np.minimum(n[own] - done, 8)
+        same[own] = (words_a[at_a[own] + done] ^ words_b[at_b[own] + done]) & _MASK8[left] == 0
+        own = own[same[own] & (n[own] > done + 8)]
+        if not len(own):
+            return same
+    for i in own.tolist():
+        same[i] = bool((a[at_a[i] + _SHORT : at_a[i] + n[i]] == b[at_b[i] + _SHORT : at_b[i] + n[i]]).all())
+    return same

@@ -1,20 +1,23 @@
 """Encoding of texts chunk by chunk with a memo, for tokenizers whose result is local to a chunk.
 
-A text is cut where a non-space character meets a space. None of the supported pre-token patterns lets a match
-reach over such a place, and none looks back, so the ids of a text are the ids of its chunks in order.
-Chunks are hashed and looked up array-wise; only a chunk that the memo lacks reaches the tokenizer. The memo is
-bounded: it starts anew when it is full, which costs time and never changes a result.
+A text is cut where a non-space character meets a space and, for patterns that part letters, digits and signs (``fine``),
+where those meet. None of the supported pre-token patterns lets a match reach over such a place, and none looks
+back, so the ids of a text are the ids of its chunks in order. Chunks are hashed and looked up array-wise, and every
+match is confirmed on the chunks' bytes; only a chunk that the memo lacks reaches the tokenizer. The memo is bounded: it
+starts anew when it is full, which costs time and never changes a result.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import BLOCK_BYTES, SpanHasher
+from .common import BLOCK_BYTES, SpanHasher, same_spans, words_of
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -36,25 +39,52 @@ def _solid_before(buf: np.ndarray) -> np.ndarray:
     return out
 
 
-def cuts(buf: np.ndarray, plain: bool) -> np.ndarray:
-    """Places where a chunk may begin. plain: white space only parts chunks and is itself dropped by the tokenizer."""
-    space = _SPACE[buf]
-    if plain:
-        at = space.copy()
-        at[1:] &= ~space[:-1]
-        return np.flatnonzero(at)
-    return np.flatnonzero(space & _solid_before(buf))
+#: Kinds of ASCII for ``fine`` cuts: letters, digits, signs. 0: never cut beside it (controls, space, what added tokens are made of).
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = 3
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KIND[0x30:0x3A] = 2
+_KIND[[ord(c) for c in "<>|"]] = 0
+_APOSTROPHE = ord("'")
+_LATIN = np.zeros(256, bool)
+_LATIN[0xC3:0xCA] = True  # U+00C0 to U+024F are letters but for two signs; U+0130 ends in a mark once it is lower case
+_LATIN_OTHER = (0xC397, 0xC3B7, 0xC4B0)
+
 
+def cuts(buf: np.ndarray, plain: bool, fine: bool = False) -> np.ndarray:
+    """Places where a chunk may begin. plain: white space only parts chunks and is itself dropped by the tokenizer.
 
-def blocks(texts: Iterable[bytes], plain: bool, most: int = BLOCK_BYTES) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
+    fine: letters, digits and signs are parted too (an apostrophe stays with what follows it); with plain, digits
+    also from each other.
+    """
+    space = _SPACE[buf]
+    at = space.copy()
+    at[1:] &= ~space[:-1] if plain else True
+    if not plain:
+        at &= _solid_before(buf)
+    if fine and len(buf) > 1:
+        kind = _KIND[buf]
+        before, after = kind[:-1], kind[1:]
+        edge = (before != after) & (before > 0) & (after > 0) & (buf[:-1] != _APOSTROPHE)
+        if plain:
+            edge |= (before == 2) & (after == 2)
+        if len(buf) > 2:  # a Latin letter of two bytes, then an ASCII sign or digit
+            last = np.flatnonzero(_LATIN[buf[:-2]] & (kind[2:] >= 2))
+            code = (buf[last].astype(np.int64) << 8) + buf[last + 1]
+            edge[1 + last[~np.isin(code, _LATIN_OTHER)]] = True
+        at[1:] |= edge
+    return np.flatnonzero(at)
+
+
+def blocks(texts: Iterable[bytes], plain: bool, most: int = BLOCK_BYTES, *, fine: bool = False) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
     """Buffers of about ``most`` bytes with (text number, bytes) of what they hold; long texts are cut at chunk borders."""
     held, parts, size = [], [], 0
     for i, text in enumerate(texts):
         while len(text) > most:
-            at = cuts(np.frombuffer(text, np.uint8, min(len(text), 2 * most)), plain)
+            at = cuts(np.frombuffer(text, np.uint8, min(len(text), 2 * most)), plain, fine)
             at = at[at > 0]
             if not len(at):
-                at = cuts(np.frombuffer(text, np.uint8), plain)
+                at = cuts(np.frombuffer(text, np.uint8), plain, fine)
                 at = at[at > 0]
                 if not len(at):
                     break
@@ -81,28 +111,74 @@ class ChunkEncoder:
     ``misses(list of chunk bytes)`` returns a list of id lists; it is asked once for each chunk not in the memo.
     """
 
-    def __init__(self, misses: Callable[[list[bytes]], list], plain: bool, most_chunks: int = 1_000_000):
-        self.misses, self.plain, self.most = misses, plain, most_chunks
+    def __init__(self, misses: Callable[[list[bytes]], list], plain: bool, most_chunks: int = 1_500_000, fine: bool = False):
+        self.misses, self.plain, self.most, self.fine = misses, plain, most_chunks, fine
         self.hash = SpanHasher()
         self.reset()
 
     def reset(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.len = np.zeros(0, np.int32)
+        """The memo: sorted hashes, each with its number; by number the chunk's place, length, and ids."""
+        self.keys, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.n = 0
+        self.chunk_at, self.chunk_len = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.at, self.len = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.chunks, self.chunk_used = np.zeros(1 << 16, np.uint8), 0
 
-    def _learn(self, keys: np.ndarray, chunks: list[bytes]) -> None:
+    @staticmethod
+    def _room(array: np.ndarray, n: int) -> np.ndarray:
+        return array if n <= len(array) else np.concatenate([array, np.zeros(max(n - len(array), len(array)), array.dtype)])
+
+    def _add(self, chunks: list[bytes]) -> np.ndarray:
+        """Encodes new chunks and returns their numbers."""
         ids = self.misses(chunks)
-        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-        total = int(sizes.sum())
-        if self.used + total > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(total, len(self.pool)), np.uint32)])
-        self.pool[self.used : self.used + total] = np.fromiter((x for y in ids for x in y), np.uint32, total)
-        at = self.used + np.cumsum(sizes, dtype=np.int64) - sizes
-        self.used += total
-        place = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.len = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.len, place, sizes)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        lens = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        total, text, to = int(sizes.sum()), int(lens.sum()), self.n + len(chunks)
+        self.pool, self.chunks = self._room(self.pool, self.used + total), self._room(self.chunks, self.chunk_used + text + 8)
+        self.pool[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
+        self.chunks[self.chunk_used : self.chunk_used + text] = np.frombuffer(b"".join(chunks), np.uint8)
+        for name in ("at", "len", "chunk_at", "chunk_len"):
+            setattr(self, name, self._room(getattr(self, name), to))
+        own = slice(self.n, to)
+        self.len[own], self.chunk_len[own] = sizes, lens
+        self.at[own] = self.used + np.cumsum(sizes) - sizes
+        self.chunk_at[own] = self.chunk_used + np.cumsum(lens) - lens
+        self.used, self.chunk_used, self.n = self.used + total, self.chunk_used + text, to
+        return np.arange(own.start, to)
+
+    def _numbers(self, data: bytes, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The memo's number of every chunk."""
+        words = words_of(buf)
+        hashes = self.hash(buf, starts, ends, words)
+        order = np.argsort(hashes)
+        run = hashes[order]
+        new = np.append(True, run[1:] != run[:-1])
+        unique, first = run[new], order[new]
+        if self.n + len(unique) > self.most:
+            self.reset()
+        place = np.searchsorted(self.keys, unique)
+        known = np.zeros(len(unique), bool)
+        inside = np.flatnonzero(place < len(self.keys))
+        known[inside] = self.keys[place[inside]] == unique[inside]
+        number = np.zeros(len(unique), np.int64)
+        number[known] = self.number[place[known]]
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            s, e = starts[first[fresh]].tolist(), ends[first[fresh]].tolist()
+            number[fresh] = self._add([data[a:b] for a, b in zip(s, e, strict=True)])
+            self.keys, self.number = np.insert(self.keys, place[fresh], unique[fresh]), np.insert(self.number, place[fresh], number[fresh])
+        out = np.empty(len(starts), np.int64)
+        out[order] = number[np.cumsum(new) - 1]
+        size = ends - starts
+        memo = np.ndarray((len(self.chunks) - 7,), "<u8", self.chunks, strides=(1,))
+        same = self.chunk_len[out] == size
+        own = np.flatnonzero(same)
+        same[own] = same_spans(buf, starts[own], self.chunks, self.chunk_at[out[own]], size[own], words, memo)
+        other = np.flatnonzero(~same)  # equal hashes of different bytes: such chunks do without the memo's index
+        if len(other):
+            out[other] = self._add([data[a:b] for a, b in zip(starts[other].tolist(), ends[other].tolist(), strict=True)])
+        return out
 
     def _block(self, data: bytes, parts: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the block and the number of ids of each part."""
@@ -111,28 +187,18 @@ class ChunkEncoder:
         buf = np.frombuffer(data, np.uint8)
         bounds = np.zeros(len(parts) + 1, np.int64)
         np.cumsum([n for _, n in parts], out=bounds[1:])
-        starts = np.union1d(cuts(buf, self.plain), bounds[:-1][bounds[:-1] < len(buf)])
+        begins = np.zeros(len(buf), bool)
+        begins[cuts(buf, self.plain, self.fine)] = True
+        begins[bounds[:-1][bounds[:-1] < len(buf)]] = True
+        starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(buf))
         if self.plain:  # drop the white space before a word, so that one entry serves every place
-            space = np.concatenate([[0], np.cumsum(_SPACE[buf])])
+            led = np.flatnonzero(_SPACE[buf[starts]])
             solid = np.flatnonzero(~_SPACE[buf])
-            first = np.searchsorted(solid, starts)
-            begin = np.append(solid, len(buf))[first]
-            starts = np.minimum(begin, ends)
-            del space
-        hashes = self.hash(buf, starts, ends)
-        unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(unique) > self.most:
-            self.reset()
-        place = np.searchsorted(self.keys, unique)
-        known = np.zeros(len(unique), bool)
-        inside = place < len(self.keys)
-        known[inside] = self.keys[place[inside]] == unique[inside]
-        if not known.all():
-            new = np.flatnonzero(~known)
-            self._learn(unique[new], [data[starts[k] : ends[k]] for k in first[new]])
-            place = np.searchsorted(self.keys, unique)
-        at, size = self.at[place][back], self.len[place][back].astype(np.int64)
+            begin = np.append(solid, len(buf))[np.searchsorted(solid, starts[led])]
+            starts[led] = np.minimum(begin, ends[led])
+        number = self._numbers(data, buf, starts, ends)
+        at, size = self.at[number], self.len[number]
         upto = np.concatenate([[0], np.cumsum(size)])
         ids = self.pool[np.repeat(at - upto[:-1], size) + np.arange(upto[-1])]
         border = np.searchsorted(np.append(starts, len(buf)), bounds) if not self.plain else np.searchsorted(ends, bounds, side="right")
@@ -140,7 +206,7 @@ class ChunkEncoder:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         out, sizes = [], np.zeros(len(texts), np.int64)
-        for data, parts in blocks(texts, self.plain):
+        for data, parts in blocks(texts, self.plain, fine=self.fine):
             ids, n = self._block(data, parts)
             out.append(ids)
             np.add.at(sizes, [i for i, _ in parts], n)
@@ -181,9 +247,33 @@ class WholeEncoder:
         return np.array([x for y in ids for x in y], np.uint32), np.cumsum([0, *map(len, ids)], dtype=np.int64)
 
 
-def local(tokenizer) -> bool:
-    """Whether no added token holds white space or takes in what follows it, so that chunks hold added tokens whole."""
-    return not any(t.rstrip or any(c.isspace() for c in t.content) for t in tokenizer.get_added_tokens_decoder().values())
+def local(tokenizer, plain: bool, fine: bool) -> bool:
+    """Whether no added token can be cut, holds white space or takes in what follows it, so that chunks hold added tokens whole."""
+    for t in tokenizer.get_added_tokens_decoder().values():
+        inside = cuts(np.frombuffer(t.content.encode(), np.uint8), plain, fine)
+        if t.rstrip or any(c.isspace() for c in t.content) or len(inside[inside > 0]):
+            return False
+        if fine and (t.lstrip or t.single_word or not (_KIND[t.content.encode()[0]] == 0 and _KIND[t.content.encode()[-1]] == 0)):
+            return False  # a cut beside it could part it from what decides whether it is one
+    return True
+
+
+#: The patterns, as their vocabularies state them, that part letters, digits and signs.
+FINE_PATTERNS = (
+    r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+)
+
+
+def parts_kinds(tokenizer_json: str, plain: bool) -> bool:
+    """Whether a tokenizer's pre-tokens are those of FINE_PATTERNS, so that ``fine`` cuts are right for it."""
+    known = json.loads(tokenizer_json)
+    before, split = known.get("normalizer"), known.get("pre_tokenizer") or {}
+    if plain:
+        first = (split.get("pretokenizers") or [split])[0]
+        names = [n["type"] for n in (before or {}).get("normalizers", [])]
+        return first.get("type") == "Split" and first.get("pattern") == {"Regex": FINE_PATTERNS[0]} and set(names) <= {"NFC", "Replace", "Lowercase"}
+    return before is None and split.get("type") == "ByteLevel" and split.get("use_regex") is True
 
 
 def library_misses(tokenizer, added: bool = False) -> Callable[[list[bytes]], list]:
@@ -215,7 +305,9 @@ def library_encoder(json_text: str, plain: bool, added: bool = False) -> ChunkEn
     def make():
         tokenizer = Tokenizer.from_str(json_text)
         misses = library_misses(tokenizer, added)
-        return WholeEncoder(misses) if added and not local(tokenizer) else ChunkEncoder(misses, plain)
+        fine = parts_kinds(json_text, plain)
+        fine = fine and (not added or local(tokenizer, plain, True))
+        return WholeEncoder(misses) if added and not local(tokenizer, plain, fine) else ChunkEncoder(misses, plain, fine=fine)
 
     return held_encoder(f"library:{plain}:{added}:{hash(json_text)}", make)
 
