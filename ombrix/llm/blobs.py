@@ -24,11 +24,24 @@ def packed(columns: dict | pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def _plain(table: pa.Table) -> pa.Table:
+    for i, f in enumerate(table.schema):
+        if pa.types.is_dictionary(f.type):
+            table = table.set_column(i, f.name, table.column(i).cast(f.type.value_type))
+    return table
+
+
 def table_of(payloads) -> pa.Table | None:
-    tables = [pa.ipc.open_stream(p.as_buffer()).read_all() for p in payloads]
+    tables = [_plain(pa.ipc.open_stream(p.as_buffer()).read_all()) for p in payloads]
     return pa.concat_tables(tables) if tables else None
 
 
+def coded(values: np.ndarray) -> pa.DictionaryArray:
+    """Values of which each occurs often, as numbers of the distinct ones."""
+    distinct, number = np.unique(values, return_inverse=True)
+    return pa.DictionaryArray.from_arrays(pa.array(number.astype(np.int32)), pa.array(distinct))
+
+
 def columns_of(payloads) -> dict[str, np.ndarray]:
     table = table_of(payloads)
     return {} if table is None else {n: table.column(n).to_numpy() for n in table.column_names}
