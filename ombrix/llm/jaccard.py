@@ -293,7 +293,7 @@ def _first_links(texts: DataFrame, star: DataFrame, homes: int, k: int, rule: Ru
 
 
 def _parts(members: DataFrame) -> DataFrame:
-    """members(lead, uid, n, component) with ``part``: runs of a leader's sets by size, of MOST_TOKENS / 2 tokens or one set."""
+    """members(lead, uid, n, component), a written table whose size is known, with ``part``: runs of a leader's sets by size, of MOST_TOKENS / 2 tokens or one set."""
     count = buckets_for(members, 4 << 20)
 
     def run(batches_in):
@@ -318,7 +318,7 @@ def _last_links(texts: DataFrame, led: DataFrame, named: DataFrame, found: DataF
     held = written(own.join(both, "uid", "left").select("lead", "uid", F.coalesce("component", "uid").alias("component")), "held")
     spans = written(held.groupBy("lead").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a <> _b").select("lead"), "spans")
     some = written(held.join(spans, "lead", "left_semi"), "unsettled")
-    parts = _parts(some.join(named.select("uid", "n"), "uid").select("lead", "uid", "n", "component"))
+    parts = _parts(written(some.join(named.select("uid", "n"), "uid").select("lead", "uid", "n", "component"), "members"))
     sizes = written(parts.groupBy("lead", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("ca"), F.max("component").alias("cb")), "sizes")
     a = sizes.select("lead", *(F.col(c).alias(f"{c}1") for c in ("part", "low", "high", "ca", "cb")))
     b = sizes.select("lead", *(F.col(c).alias(f"{c}2") for c in ("part", "low", "high", "ca", "cb")))
