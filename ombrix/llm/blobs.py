@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mix64
+from .common import mix64, tidy
 
 SCHEMA = "bucket int, kind int, payload binary"
 TEXT = 4
@@ -61,7 +61,10 @@ def digit(key: np.ndarray, n: int) -> np.ndarray:
 
 
 def rows(parts: list[tuple[int, int, dict]]) -> pa.Table:
-    return pa.table({"bucket": pa.array([b for b, _, _ in parts], pa.int32()), "kind": pa.array([k for _, k, _ in parts], pa.int32()), "payload": pa.array([packed(c) for _, _, c in parts], pa.binary())})
+    out = pa.table({"bucket": pa.array([b for b, _, _ in parts], pa.int32()), "kind": pa.array([k for _, k, _ in parts], pa.int32()), "payload": pa.array([packed(c) for _, _, c in parts], pa.binary())})
+    parts.clear()
+    tidy()
+    return out
 
 
 def dealt(columns: dict[str, np.ndarray], bucket: np.ndarray, kind: int, base: int = 0) -> list[tuple[int, int, dict]]:

@@ -16,6 +16,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,6 +109,26 @@ def ranked(df: DataFrame, keys: list[str], order: list, name: str, rows_each: in
     return inner.join(before, [*keys, "_salt"]).withColumn(name, (F.col("_before") + F.col("_rank")).cast("long")).drop("_salt", "_rank", "_before")
 
 
+def _trimmer():
+    import ctypes
+
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library keeps its own counsel
+        return lambda _: 0
+
+
+def tidy() -> None:
+    """Gives unused memory back to the system. Python workers outlive their tasks, and an executor's limit covers them all."""
+    global _trim
+    _trim = _trim or _trimmer()
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
+_trim = None
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads every input bit over all 64 (splitmix64's)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

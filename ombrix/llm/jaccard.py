@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blobs import SCHEMA, TEXT, coded, columns_of, dealt, digit, home, of_kind, packed_texts, passed_on, rows, table_of
-from .common import BLOCK_BYTES, buckets_for, documents, mix64, source_bytes, with_uid, written
+from .common import BLOCK_BYTES, buckets_for, documents, mix64, source_bytes, tidy, with_uid, written
 from .pretoken import batches, text_runs
 from .shingles import Rule, set_key, shingle_sets
 
 #: Records held by a task before it sends them on.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 #: Tokens of all sets of a task. A set by itself may be larger.
 MOST_TOKENS = 1 << 21
 FANOUT = 16
@@ -285,7 +285,10 @@ def _first_links(texts: DataFrame, star: DataFrame, homes: int, k: int, rule: Ru
             if kind != _ASKED:
                 _sets_of(table_of([p]), need, k, found)
         leads = np.unique(r["lead"])
-        return _linked(np.concatenate([r["lead"], leads]), np.concatenate([r["uid"], leads]), found, rule)
+        out = _linked(np.concatenate([r["lead"], leads]), np.concatenate([r["uid"], leads]), found, rule)
+        found.clear()
+        tidy()
+        return out
 
     asked = packed_texts(texts, homes).unionByName(star.mapInArrow(asks, SCHEMA)).groupBy("bucket").applyInArrow(answer, SCHEMA)
     here = packed_texts(texts, homes).unionByName(asked).unionByName(_sent(star, "uid", _ASKED, homes))
@@ -353,7 +356,10 @@ def _last_links(texts: DataFrame, led: DataFrame, named: DataFrame, found: DataF
         whole = r["side"] == 2
         # a task of one part counts all its pairs: every set is a side of its own
         side = np.where(whole, np.arange(len(whole)) + 2, r["side"])
-        return _linked(r["task"], r["uid"], found, rule, r["component"], side)
+        out = _linked(r["task"], r["uid"], found, rule, r["component"], side)
+        found.clear()
+        tidy()
+        return out
 
     fetched = packed_texts(texts, homes).unionByName(_sent(asked, "uid", _ASKED, homes)).groupBy("bucket").applyInArrow(fetch, SCHEMA)
     return fetched.groupBy("bucket").applyInArrow(link, "u long, v long")
@@ -361,7 +367,7 @@ def _last_links(texts: DataFrame, led: DataFrame, named: DataFrame, found: DataF
 
 def clusters(docs: DataFrame, k: int, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """docs(uid, text) to (documents (uid, n, a, b): set size and name; links (u, v) between uids)."""
-    buckets = homes = buckets_for(docs, 8 << 20)
+    buckets = homes = buckets_for(docs, 6 << 20)
     # false matches of shortened keys only make candidates; their share stays under 2 ** -16 at any size
     bits = min(64, max(40, 16 + source_bytes(docs).bit_length()))
     texts = docs.select("uid", "text")

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import BLOCK_BYTES, SpanHasher, same_spans, words_of
+from .common import BLOCK_BYTES, SpanHasher, same_spans, tidy, words_of
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -111,23 +111,22 @@ class ChunkEncoder:
     ``misses(list of chunk bytes)`` returns a list of id lists; it is asked once for each chunk not in the memo.
     """
 
-    def __init__(self, misses: Callable[[list[bytes]], list], plain: bool, most_chunks: int = 1_500_000, fine: bool = False):
+    def __init__(self, misses: Callable[[list[bytes]], list], plain: bool, most_chunks: int = 1_000_000, fine: bool = False):
         self.misses, self.plain, self.most, self.fine = misses, plain, most_chunks, fine
         self.hash = SpanHasher()
         self.reset()
 
     def reset(self) -> None:
         """The memo: sorted hashes, each with its number; by number the chunk's place, length, and ids."""
-        self.keys, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.keys, self.number = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
         self.n = 0
-        self.chunk_at, self.chunk_len = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.at, self.len = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.chunk_at, self.chunk_len, self.at, self.len = (np.zeros(1 << 12, np.uint32) for _ in range(4))
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.chunks, self.chunk_used = np.zeros(1 << 16, np.uint8), 0
 
     @staticmethod
     def _room(array: np.ndarray, n: int) -> np.ndarray:
-        return array if n <= len(array) else np.concatenate([array, np.zeros(max(n - len(array), len(array)), array.dtype)])
+        return array if n <= len(array) else np.concatenate([array, np.zeros(max(n - len(array), len(array) // 2), array.dtype)])
 
     def _add(self, chunks: list[bytes]) -> np.ndarray:
         """Encodes new chunks and returns their numbers."""
@@ -155,7 +154,7 @@ class ChunkEncoder:
         run = hashes[order]
         new = np.append(True, run[1:] != run[:-1])
         unique, first = run[new], order[new]
-        if self.n + len(unique) > self.most:
+        if self.n + len(unique) > self.most or max(self.used, self.chunk_used) > 1 << 28:
             self.reset()
         place = np.searchsorted(self.keys, unique)
         known = np.zeros(len(unique), bool)
@@ -174,7 +173,7 @@ class ChunkEncoder:
         memo = np.ndarray((len(self.chunks) - 7,), "<u8", self.chunks, strides=(1,))
         same = self.chunk_len[out] == size
         own = np.flatnonzero(same)
-        same[own] = same_spans(buf, starts[own], self.chunks, self.chunk_at[out[own]], size[own], words, memo)
+        same[own] = same_spans(buf, starts[own], self.chunks, self.chunk_at[out[own]].astype(np.int64), size[own], words, memo)
         other = np.flatnonzero(~same)  # equal hashes of different bytes: such chunks do without the memo's index
         if len(other):
             out[other] = self._add([data[a:b] for a, b in zip(starts[other].tolist(), ends[other].tolist(), strict=True)])
@@ -198,7 +197,7 @@ class ChunkEncoder:
             begin = np.append(solid, len(buf))[np.searchsorted(solid, starts[led])]
             starts[led] = np.minimum(begin, ends[led])
         number = self._numbers(data, buf, starts, ends)
-        at, size = self.at[number], self.len[number]
+        at, size = self.at[number].astype(np.int64), self.len[number].astype(np.int64)
         upto = np.concatenate([[0], np.cumsum(size)])
         ids = self.pool[np.repeat(at - upto[:-1], size) + np.arange(upto[-1])]
         border = np.searchsorted(np.append(starts, len(buf)), bounds) if not self.plain else np.searchsorted(ends, bounds, side="right")
@@ -234,6 +233,7 @@ def text_runs(batch: pa.RecordBatch, most: int = 2 * BLOCK_BYTES) -> Iterator[tu
         j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + most, side="right")))
         yield i, j, [b"" if t is None else t.encode() for t in column.slice(i, j - i).to_pylist()]
         i = j
+    tidy()
 
 
 class WholeEncoder:
