@@ -15,7 +15,7 @@ def sanitize(name: Column) -> Column:
     """A lower-case slug of letters, digits, dots, underscores and hyphens; ``vehicle`` where nothing is left."""
     low = F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(name, F.lit("")), r"^\s+|\s+$", "")), "'", "")
     slug = F.regexp_replace(F.regexp_replace(low, "[^a-z0-9._-]+", "-"), "^[-._]+|[-._]+$", "")
-    safe = F.when(slug == "", "vehicle").when(F.split(slug, "[.]")[0].isin(*RESERVED), F.concat(F.lit("vehicle-"), slug)).otherwise(slug)
+    safe = F.when(slug == "", "vehicle").when(slug.isin(*RESERVED), F.concat(F.lit("vehicle-"), slug)).otherwise(slug)
     return F.left(safe, F.lit(MOST))
 
 

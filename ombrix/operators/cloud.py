@@ -47,12 +47,13 @@ def concat(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def with_updates(cloud: DataFrame, updates: DataFrame, order: str | None = None) -> DataFrame:
-    """Overwrites the columns that ``updates`` has, by splat_id; of several rows for an id the last by ``order`` wins."""
+    """Overwrites the columns that ``updates`` has, by splat_id; of several rows for an id the last by ``order`` wins,
+    without ``order`` the largest by the updated columns, so that every run gives the same."""
     names = [c for c in updates.columns if c not in ("splat_id", order)]
     if unknown := set(names) - set(cloud.columns):
         raise ValueError(f"unknown fields: {sorted(unknown)}")
     new = F.struct(*names)
-    last = updates.groupBy("splat_id").agg((F.max_by(new, F.col(order)) if order else F.last(new)).alias("_new"))
+    last = updates.groupBy("splat_id").agg((F.max_by(new, F.col(order)) if order else F.max(new)).alias("_new"))
     joined = cloud.join(last, "splat_id", "left")
     return joined.select(*[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in cloud.columns])
 

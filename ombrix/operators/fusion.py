@@ -40,12 +40,12 @@ def trusted(image: DataFrame, cloud: DataFrame, least: float = 0.75) -> DataFram
     return image.join(cloud.filter((F.col("provenance") == OBSERVED) & (F.col("confidence") >= least)).select("splat_id"), "splat_id", "left_semi")
 
 
-def partition_visible(image: DataFrame, width: int, height: int, cfg: FusionConfig) -> tuple[DataFrame, DataFrame]:
-    """image has residual: (pixels of the disputed region, splats that agree somewhere). A splat may be in both."""
+def partition_visible(image: DataFrame, width: int, height: int, cfg: FusionConfig, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """image has residual: (pixels of the disputed region, (keys, splat_id) that agree somewhere). A splat may be in both."""
     core = image.filter(F.col("residual") > cfg.residual)
-    ring = pixels.dilate(core, cfg.ring, width, height)
-    disputed = image.join(ring, ["px", "py"], "left_semi")
-    return disputed, image.join(ring, ["px", "py"], "left_anti").select("splat_id").distinct()
+    ring = pixels.dilate(core, cfg.ring, width, height, *keys)
+    disputed = image.join(ring, [*keys, "px", "py"], "left_semi")
+    return disputed, image.join(ring, [*keys, "px", "py"], "left_anti").select(*keys, "splat_id").distinct()
 
 
 def resists(weight: Column | float, margin: float = 0.25) -> Column:
@@ -73,20 +73,49 @@ def confirm(touched: DataFrame, dirty: DataFrame, weight: Column | float, ts: Co
     return out.withColumn("provenance", F.when(F.col("_d").isNull() & (F.col("confidence") >= cfg.promote), OBSERVED).otherwise(F.col("provenance"))).drop("_d")
 
 
+def confirm_all(cloud: DataFrame, weight: Column, ts: Column, cfg: FusionConfig) -> DataFrame:
+    """As :func:`confirm` where nothing was recoloured, over a cloud that holds each row's evidence: null is none."""
+    seen, sure = weight.isNotNull(), clip01(F.col("confidence") + cfg.gain * weight)
+    new = {"confidence": sure, "view_count": F.col("view_count") + 1, "last_seen_ts": ts, "provenance": F.when(sure >= cfg.promote, OBSERVED).otherwise(F.col("provenance"))}
+    return cloud.withColumns({c: F.when(seen, v).otherwise(F.col(c)) for c, v in new.items()})
+
+
+def pixel_weights(image: DataFrame, core: DataFrame, ring: DataFrame, outer: float = 0.3) -> DataFrame:
+    """``weight`` of every pixel for refinement: 1 in the disputed core, ``outer`` in the ring around it, 0 elsewhere."""
+    mark = core.select("px", "py").withColumn("_w", F.lit(1.0)).unionByName(ring.select("px", "py").withColumn("_w", F.lit(outer)))
+    top = mark.groupBy("px", "py").agg(F.max("_w").alias("weight"))
+    return image.join(top, ["px", "py"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+
+
 def mirror_confirmed(cloud: DataFrame, radius: float = 0.05, keys: tuple[str, ...] = ("vehicle_id",)) -> DataFrame:
-    """What was observed also shapes the nearest guess on the other side of y = 0; provenance and confidence stay."""
+    """What was observed also shapes the nearest guess on the other side of y = 0; provenance and confidence stay.
+
+    The guess takes the reflected place and rotation, the scale, opacity and colour; its higher colour bands go. Of several
+    sources of one guess the last, by id, counts. ``mirror_count`` counts all.
+    """
     hit = mirror_targets(cloud, radius, keys)
-    new = hit.groupBy("splat_id").agg(F.max_by(F.struct("nx", "ny", "nz", "nr", "ng", "nb", "n_scale", "n_opacity"), F.col("source_id")).alias("m"))
+    names = [c for c in LOOK if c in cloud.columns]
+    new = hit.groupBy("splat_id").agg(F.max_by(F.struct(*[f"n_{c}" for c in names]), F.col("source_id")).alias("m"))
     out = cloud.join(new, "splat_id", "left")
-    take = {"x": "nx", "y": "ny", "z": "nz", "r": "nr", "g": "ng", "b": "nb", "scale": "n_scale", "opacity": "n_opacity"}
-    return out.select(*[F.coalesce(f"m.{take[c]}", c).alias(c) if c in take else F.col(c) for c in cloud.columns])
+    plain = {"sh_rest": F.when(F.col("m").isNull(), F.col("sh_rest"))} if "sh_rest" in cloud.columns else {}
+    return out.select(*[F.coalesce(f"m.n_{c}", c).alias(c) if c in names else plain[c].alias(c) if c in plain else F.col(c) for c in cloud.columns])
+
+
+#: What a mirrored guess takes over, and which of it changes sign on the other side of y = 0 (fixed values).
+LOOK = ("x", "y", "z", "qw", "qx", "qy", "qz", "scale", "opacity", "r", "g", "b")
+FLIPPED = ("y", "qx", "qz")
+
+
+def mirror_count(targets: DataFrame) -> DataFrame:
+    """How many sources found a guess to shape: ``mirrored``."""
+    return targets.agg(F.count(F.lit(1)).alias("mirrored"))
 
 
 def mirror_targets(cloud: DataFrame, radius: float = 0.05, keys: tuple[str, ...] = ("vehicle_id",)) -> DataFrame:
-    """(splat_id, source_id, distance, source's look): guesses nearest to a reflected observation, among all splats."""
+    """(splat_id, source_id, distance, n_ and each of LOOK): guesses nearest to a reflected observation, among all splats."""
     src = cloud.filter(F.col("provenance") == OBSERVED).select(*keys, F.col("splat_id").alias("source_id"), "x", (-F.col("y")).alias("y"), "z")
     near = spatial.nearest_within(src, cloud, radius, list(keys), "source_id", "splat_id")
-    look = cloud.select(F.col("splat_id").alias("source_id"), F.col("x").alias("nx"), (-F.col("y")).alias("ny"), F.col("z").alias("nz"), F.col("r").alias("nr"), F.col("g").alias("ng"), F.col("b").alias("nb"), F.col("scale").alias("n_scale"), F.col("opacity").alias("n_opacity"))
+    look = cloud.select(F.col("splat_id").alias("source_id"), *[(-F.col(c) if c in FLIPPED else F.col(c)).alias(f"n_{c}") for c in LOOK if c in cloud.columns])
     guesses = cloud.filter(F.col("provenance") == PRIOR).select("splat_id")
     return near.join(guesses, "splat_id", "left_semi").join(look, "source_id").drop(*keys)
 
@@ -164,4 +193,11 @@ def fuse_frame(cloud: DataFrame, photo: DataFrame, pose: Pose, k: Intrinsics, co
     new = new.withColumns({c: F.lit(cloud.select(c).first()[0]) if c == "vehicle_id" else F.lit(None).cast(dict(cloud.dtypes)[c]) for c in extra})
     new = new.select(*[F.col(c).cast(dict(out.dtypes)[c]).alias(c) for c in out.columns])
     out = prune(out.unionByName(new))
-    return out, {"accepted": True, "reason": "", "dirty": dirty.count(), "touched": touched_ids.count(), "spawned": new.count()}
+    return out, _report(dirty, touched_ids, new)
+
+
+def _report(dirty: DataFrame, touched: DataFrame, new: DataFrame) -> dict:
+    """The counts of a frame, in one job."""
+    parts = [df.select(F.lit(n).alias("k")) for n, df in (("dirty", dirty), ("touched", touched), ("spawned", new))]
+    counts = {r.k: r["count"] for r in parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("k").count().collect()}
+    return {"accepted": True, "reason": "", **{n: counts.get(n, 0) for n in ("dirty", "touched", "spawned")}}

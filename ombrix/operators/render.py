@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .geometry import Intrinsics, Pose, project
@@ -31,10 +32,17 @@ def zbuffer(cloud: DataFrame, pose: Pose, k: Intrinsics, *keys: str) -> DataFram
         lo, hi = F.greatest(F.col(c) - F.col("reach"), F.lit(0)), F.least(F.col(c) + F.col("reach"), F.lit(size - 1))
         return F.when(lo <= hi, F.sequence(lo.cast("int"), hi.cast("int"))).otherwise(F.array().cast("array<int>"))
 
-    s = s.withColumn("px", F.explode(span("iu", k.width))).withColumn("py", F.explode(span("iv", k.height)))
-    s = s.filter(F.pow(F.col("px") - F.col("u"), 2) + F.pow(F.col("py") - F.col("v"), 2) <= F.col("radius") * F.col("radius"))
-    best = s.groupBy(*keys, "px", "py").agg(F.min(F.struct("depth", "splat_id", "r", "g", "b")).alias("m"))
-    return best.select(*keys, "px", "py", F.col("m.splat_id").alias("splat_id"), F.col("m.depth").alias("depth"), *[F.col(f"m.{c}").alias(c) for c in "rgb"])
+    if keys:  # a splat's place in order of (depth, id) is one long, whose minimum needs no sort of all pixels
+        s = s.withColumn("_ord", F.row_number().over(W.partitionBy(*keys).orderBy("depth", "splat_id")))
+    own = s.select(*keys, "u", "v", "radius", "reach", "iu", "iv", *(["_ord"] if keys else ["depth", "splat_id", "r", "g", "b"]))
+    own = own.withColumn("px", F.explode(span("iu", k.width))).withColumn("py", F.explode(span("iv", k.height)))
+    du, dv = F.col("px") - F.col("u"), F.col("py") - F.col("v")
+    own = own.filter(du * du + dv * dv <= F.col("radius") * F.col("radius"))
+    if keys:
+        best = own.groupBy(*keys, "px", "py").agg(F.min("_ord").alias("_ord"))
+        return best.join(s.select(*keys, "_ord", "splat_id", "depth", "r", "g", "b"), [*keys, "_ord"]).select(*keys, "px", "py", "splat_id", "depth", *"rgb")
+    best = own.groupBy("px", "py").agg(F.min(F.struct("depth", "splat_id", "r", "g", "b")).alias("m"))
+    return best.select("px", "py", F.col("m.splat_id").alias("splat_id"), F.col("m.depth").alias("depth"), *[F.col(f"m.{c}").alias(c) for c in "rgb"])
 
 
 def unproject_pixels(uv: DataFrame, image: DataFrame, cloud: DataFrame, k: Intrinsics) -> DataFrame:

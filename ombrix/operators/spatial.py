@@ -6,26 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_STEPS = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+def nearest_of(near: DataFrame, keys: list[str], id_: str) -> DataFrame:
+    """Of near(keys, id_, distance) the row of least distance, then least id, for each key.
 
-
-def _cell(size: float) -> list:
-    return [F.floor(F.col(c) / size).alias(f"_c{c}") for c in "xyz"]
+    Two hash aggregations on fixed-width buffers; a minimum of structs would sort every row.
+    """
+    least = near.groupBy(*keys).agg(F.min("distance").alias("distance"))
+    return near.join(least, [*keys, "distance"]).groupBy(*keys, "distance").agg(F.min(id_).alias(id_)).select(*keys, id_, "distance")
 
 
 def nearest_within(sources: DataFrame, targets: DataFrame, radius: float, keys: list[str], source_id: str, target_id: str) -> DataFrame:
     """(keys, source_id, target_id, distance) of the nearest target within the radius, ties to the smaller id.
 
-    sources and targets have x, y, z. Sources go to the 27 cells around theirs; targets stay in one.
+    sources and targets have x, y, z. Sources go to those of the 27 cells around theirs that the
+    radius reaches (half a cell each way, so 8 of them at most); targets stay in one.
     """
-    around = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"d{c}") for c, v in zip("xyz", s, strict=True)]) for s in _STEPS]))
-    s = sources.select(*keys, source_id, *[F.col(c).alias(f"_s{c}") for c in "xyz"], *_cell(radius)).withColumn("_a", around)
-    s = s.select(*keys, source_id, "_sx", "_sy", "_sz", *[(F.col(f"_c{c}") + F.col(f"_a.d{c}")).alias(f"_c{c}") for c in "xyz"])
-    t = targets.select(*keys, target_id, *"xyz", *_cell(radius))
-    square = sum((F.pow(F.col(c) - F.col(f"_s{c}"), 2) for c in "yz"), F.pow(F.col("x") - F.col("_sx"), 2))
-    near = s.join(t, [*keys, "_cx", "_cy", "_cz"]).withColumn("_d", F.sqrt(square)).filter(F.col("_d") <= radius)
-    best = near.groupBy(*keys, source_id).agg(F.min(F.struct("_d", target_id)).alias("_m"))
-    return best.select(*keys, source_id, F.col(f"_m.{target_id}").alias(target_id), F.col("_m._d").alias("distance"))
+    size = 2.0 * radius
+    s = sources.select(*keys, source_id, *[F.col(c).alias(f"_s{c}") for c in "xyz"])
+    for c in "xyz":
+        lo, hi = (F.floor((F.col(f"_s{c}") + F.lit(r)) / size) for r in (-radius * (1 + 1e-9), radius * (1 + 1e-9)))
+        s = s.withColumn(f"_c{c}", F.explode(F.sequence(lo, hi)))
+    t = targets.select(*keys, target_id, *"xyz", *[F.floor(F.col(c) / size).alias(f"_c{c}") for c in "xyz"])
+    gap = [F.col(c) - F.col(f"_s{c}") for c in "xyz"]
+    near = s.join(t, [*keys, "_cx", "_cy", "_cz"]).select(*keys, source_id, target_id, F.sqrt(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2]).alias("distance")).filter(F.col("distance") <= radius)
+    return nearest_of(near, [*keys, source_id], target_id)
 
 
 def knn(points: DataFrame, k: int, keys: list[str], id_: str, *carry: str) -> DataFrame:
@@ -35,6 +39,6 @@ def knn(points: DataFrame, k: int, keys: list[str], id_: str, *carry: str) -> Da
     """
     a = points.select(*keys, id_, *[F.col(c).alias(f"_s{c}") for c in "xyz"])
     b = points.select(*keys, F.col(id_).alias("n_id"), *"xyz", *[F.col(c).alias(f"n_{c}") for c in carry])
-    square = sum((F.pow(F.col(c) - F.col(f"_s{c}"), 2) for c in "yz"), F.pow(F.col("x") - F.col("_sx"), 2))
+    square = sum(((F.col(c) - F.col(f"_s{c}")) * (F.col(c) - F.col(f"_s{c}")) for c in "yz"), (F.col("x") - F.col("_sx")) * (F.col("x") - F.col("_sx")))
     rn = F.row_number().over(W.partitionBy(*keys, id_).orderBy("_d", "n_id"))
     return a.join(b, keys).withColumn("_d", square).withColumn("rn", rn).filter(F.col("rn") <= k).select(*keys, id_, "n_id", *[f"n_{c}" for c in carry], "rn")

@@ -1,6 +1,7 @@
 """The registered queries of the engine, each beside the DuckDB text that gives the same rows on the same tables.
 
-Floats are rounded to six places, and negative zeros removed, so that both engines' values can be compared as written.
+Floats are rounded to six places by one formula, floor(x * 1e6 + 0.5) / 1e6, since the engines' own round() treats ties
+differently; negative zeros are removed.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def query(sql: str | None = None, *views: str):
 
 
 def r6(c: Column | str, name: str) -> Column:
-    return (F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)).alias(name)
+    return (F.floor((F.col(c) if isinstance(c, str) else c) * 1e6 + 0.5) / 1e6 + F.lit(0.0)).alias(name)
 
 
 def num(x: float) -> str:
@@ -39,7 +40,7 @@ def num(x: float) -> str:
 
 
 def s6(expr: str, name: str) -> str:
-    return f"round({expr}, 6) + 0.0::DOUBLE AS {name}"
+    return f"floor(CAST({expr} AS DOUBLE) * 1e6 + 0.5::DOUBLE) / 1e6 + 0.0::DOUBLE AS {name}"
 
 
 def splats(spark: SparkSession, d: str) -> DataFrame:
@@ -73,9 +74,9 @@ def pruned_stats_by_vehicle(spark, d):
     return entry(spark, d)
 
 
-@query("SELECT vehicle_id, round(avg(CASE WHEN provenance=1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS fraction FROM v_splat GROUP BY vehicle_id", "v_splat")
+@query("SELECT vehicle_id, " + s6("avg(CASE WHEN provenance=1 THEN 1.0::DOUBLE ELSE 0 END)", "fraction") + " FROM v_splat GROUP BY vehicle_id", "v_splat")
 def observed_fraction_by_vehicle(spark, d):
-    return splats(spark, d).groupBy("vehicle_id").agg(F.round(cloud.observed_fraction(), 6).alias("fraction"))
+    return splats(spark, d).groupBy("vehicle_id").agg(r6(cloud.observed_fraction(), "fraction"))
 
 
 @query(
@@ -116,7 +117,7 @@ def merge_clouds(spark, d):
     f"""WITH w AS (SELECT vehicle_id, max_by(weight, (ts, observation_id)) AS weight, max(ts) AS seen FROM (SELECT *, CASE device WHEN 'phone_ar' THEN {num(1.0)} WHEN 'phone' THEN {num(0.85)}
  WHEN 'camera' THEN {num(0.8)} WHEN 'pi' THEN {num(0.6)} ELSE {num(0.3)} END AS weight FROM v_observation) GROUP BY vehicle_id),
 u AS (SELECT s.splat_id, least(1, greatest(0, s.confidence + {num(0.35)} * w.weight)) AS c, s.view_count + 1 AS n, s.provenance AS p FROM v_splat s JOIN w USING (vehicle_id))
-SELECT s.splat_id, round(coalesce(u.c, s.confidence), 6) AS confidence, coalesce(u.n, s.view_count) AS view_count,
+SELECT s.splat_id, {s6("coalesce(u.c, s.confidence)", "confidence")}, coalesce(u.n, s.view_count) AS view_count,
  CASE WHEN u.c >= 0.25 THEN 1 ELSE s.provenance END AS provenance FROM v_splat s LEFT JOIN u USING (splat_id)""",
     "v_splat",
     "v_observation",
@@ -125,10 +126,8 @@ def keyed_update_confirm(spark, d):
     """Splats of every vehicle with observations are confirmed by its last one's evidence."""
     s, o = splats(spark, d), view(spark, d, "v_observation")
     last = o.groupBy("vehicle_id").agg(F.max_by(registration.evidence_weight(F.col("device")), F.struct("ts", "observation_id")).alias("weight"))
-    touched = s.join(last, "vehicle_id")
-    seen = fusion.confirm(touched, s.limit(0), F.col("weight"), F.col("last_seen_ts"), fusion.FusionConfig())
-    out = cloud.with_updates(s, seen.select("splat_id", "confidence", "view_count", "provenance"))
-    return out.select("splat_id", F.round("confidence", 6).alias("confidence"), "view_count", "provenance")
+    out = fusion.confirm_all(s.join(last, "vehicle_id", "left"), F.col("weight"), F.col("last_seen_ts"), fusion.FusionConfig())
+    return out.select("splat_id", r6("confidence", "confidence"), "view_count", "provenance")
 
 
 # ---- arbitration
@@ -210,15 +209,15 @@ def unproject_inverts_projection(spark, d):
     return geometry.unproject(p, P0, FRAME).select("splat_id", *[r6(c, c) for c in "xyz"])
 
 
-SIM = geometry.Sim3(1.7320508, (0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0), (0.1, -0.2, 0.3))
+SIM = geometry.Sim3(1.5, (0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0), (0.1, -0.2, 0.3))
 
 
-@query(f"SELECT splat_id, {s6('-1.7320508::DOUBLE*y+0.1::DOUBLE', 'x')}, {s6('1.7320508::DOUBLE*x-0.2::DOUBLE', 'y')}, {s6('1.7320508::DOUBLE*z+0.3::DOUBLE', 'z')} FROM v_splat", "v_splat")
+@query(f"SELECT splat_id, {s6('-1.5::DOUBLE*y+0.1::DOUBLE', 'x')}, {s6('1.5::DOUBLE*x-0.2::DOUBLE', 'y')}, {s6('1.5::DOUBLE*z+0.3::DOUBLE', 'z')} FROM v_splat", "v_splat")
 def sim3_apply(spark, d):
     return SIM.apply(splats(spark, d)).select("splat_id", *[r6(c, c) for c in "xyz"])
 
 
-@query("SELECT splat_id, round(r,6)+0.0::DOUBLE AS qw, round(-g,6)+0.0::DOUBLE AS qx, round(b,6)+0.0::DOUBLE AS qy, round(-opacity,6)+0.0::DOUBLE AS qz FROM v_splat", "v_splat")
+@query(f"SELECT splat_id, {s6('r', 'qw')}, {s6('-g', 'qx')}, {s6('b', 'qy')}, {s6('-opacity', 'qz')} FROM v_splat", "v_splat")
 def mirror_quaternion(spark, d):
     q = geometry.mirror_quaternion(tuple(F.col(c) for c in ("r", "g", "b", "opacity")))
     return splats(spark, d).select("splat_id", *[r6(v, n) for v, n in zip(q, ("qw", "qx", "qy", "qz"), strict=True)])
@@ -297,9 +296,12 @@ def bootstrap_pose(spark, d):
     return b.select("vehicle_id", r6("radius", "radius"), r6(F.col("mx") + 0.82 * dist, "ex"), r6(F.col("my") - 0.52 * dist, "ey"), r6(F.col("mz") + 0.55 * F.col("radius"), "ez"))
 
 
-_BINS = """SELECT vehicle_id, bin, count(*) AS n, quantile_cont(z, 0.02) AS floor, any_value(x0)+(bin+0.5::DOUBLE)*(any_value(x1)-any_value(x0))/20 AS centre FROM (
+# the low percentile is interpolated as (higher - place) * lower value + (place - lower) * higher value
+_BINS = """SELECT vehicle_id, bin, n, centre, CASE WHEN zs[l+1] = zs[h+1] THEN zs[l+1] ELSE (h-place)*zs[l+1] + (place-l)*zs[h+1] END AS floor FROM (
+ SELECT *, (n-1)*0.02::DOUBLE AS place, CAST(floor((n-1)*0.02::DOUBLE) AS BIGINT) AS l, CAST(ceil((n-1)*0.02::DOUBLE) AS BIGINT) AS h FROM (
+ SELECT vehicle_id, bin, count(*) AS n, list(z ORDER BY z) AS zs, any_value(x0)+(bin+0.5::DOUBLE)*(any_value(x1)-any_value(x0))/20 AS centre FROM (
  SELECT s.*, x0, x1, CAST(least(floor((x-x0)/(x1-x0)*20), 19) AS BIGINT) AS bin FROM v_splat s JOIN (SELECT vehicle_id, min(x) AS x0, max(x) AS x1 FROM v_splat GROUP BY vehicle_id) USING (vehicle_id) WHERE x1 > x0)
- GROUP BY vehicle_id, bin HAVING count(*) >= 20"""
+ GROUP BY vehicle_id, bin HAVING count(*) >= 20))"""
 
 
 @query(f"SELECT vehicle_id, bin, n, {s6('floor', 'floor')}, {s6('centre', 'centre')} FROM ({_BINS})", "v_splat")
@@ -307,7 +309,7 @@ def ground_bins(spark, d):
     return canonical.ground_bins(splats(spark, d), "vehicle_id").select("vehicle_id", "bin", "n", r6("floor", "floor"), r6("centre", "centre"))
 
 
-@query(f"SELECT vehicle_id, count(*) AS bins, CASE WHEN count(*) >= 3 THEN round(regr_slope(floor, centre), 6) + 0.0::DOUBLE END AS slope FROM ({_BINS}) GROUP BY vehicle_id", "v_splat")
+@query(f"SELECT vehicle_id, count(*) AS bins, {s6("CASE WHEN count(*) >= 3 THEN regr_slope(floor, centre) END", "slope")} FROM ({_BINS}) GROUP BY vehicle_id", "v_splat")
 def ground_slope(spark, d):
     g = canonical.ground_slope(canonical.ground_bins(splats(spark, d), "vehicle_id"), "vehicle_id")
     return g.select("vehicle_id", "bins", r6("slope", "slope"))
@@ -402,15 +404,18 @@ def dilate_ring(spark, d):
 
 
 @query(
-    f"""WITH img AS ({_image_sql()}), ring AS ({_RING})
+    f"""WITH pairs AS MATERIALIZED ({_PAIRS_SQL}), img AS (SELECT *, (abs(o_r-r)+abs(o_g-g)+abs(o_b-b))/3 AS residual FROM pairs),
+ring AS (SELECT DISTINCT vehicle_id, px+dx AS px, py+dy AS py FROM img, {_OFFSETS} WHERE residual > 0.45::DOUBLE AND px+dx BETWEEN 0 AND {FRAME.width - 1} AND py+dy BETWEEN 0 AND {FRAME.height - 1})
 SELECT i.vehicle_id, count(DISTINCT i.splat_id) FILTER (r.px IS NOT NULL) AS disputed, count(DISTINCT i.splat_id) FILTER (r.px IS NULL) AS agreeing
 FROM img i LEFT JOIN ring r ON i.vehicle_id = r.vehicle_id AND i.px = r.px AND i.py = r.py GROUP BY i.vehicle_id""",
     "v_splat",
 )
 def partition_visible(spark, d):
-    ring = pixels.dilate(core_of(spark, d), 3, FRAME.width, FRAME.height, "vehicle_id").withColumn("in_ring", F.lit(True))
-    both = image_of(spark, d).join(ring, ["vehicle_id", "px", "py"], "left")
-    return both.groupBy("vehicle_id").agg(F.count_distinct(F.when(F.col("in_ring"), F.col("splat_id"))).alias("disputed"), F.count_distinct(F.when(F.col("in_ring").isNull(), F.col("splat_id"))).alias("agreeing"))
+    pairs = pairs_of(spark, d)
+    image = pairs.withColumn("residual", (F.abs(F.col("o_r") - F.col("r")) + F.abs(F.col("o_g") - F.col("g")) + F.abs(F.col("o_b") - F.col("b"))) / 3)
+    disputed, agreeing = fusion.partition_visible(image, FRAME.width, FRAME.height, fusion.FusionConfig(residual=0.45), "vehicle_id")
+    both = disputed.select("vehicle_id", F.col("splat_id").alias("d")).unionByName(agreeing.select("vehicle_id", F.col("splat_id").alias("a")), allowMissingColumns=True)
+    return both.groupBy("vehicle_id").agg(F.count_distinct("d").alias("disputed"), F.count_distinct("a").alias("agreeing"))
 
 
 def _fit_sql() -> str:
@@ -440,9 +445,11 @@ _REACH8 = "(VALUES " + ", ".join(f"({a},{b})" for a, b in pixels.ellipse(8)) + "
 
 
 @query(
-    f"""WITH img AS ({_image_sql()}), near AS (SELECT vehicle_id, px+dx AS px, py+dy AS py, min(depth) AS depth FROM img, {_REACH8} WHERE (px+dx) % 6 = 0 AND (py+dy) % 6 = 0 GROUP BY vehicle_id, px+dx, py+dy)
-SELECT n.vehicle_id, CAST(n.px AS INT) AS px, CAST(n.py AS INT) AS py, {s6("n.depth", "depth")} FROM near n LEFT JOIN img i ON n.vehicle_id=i.vehicle_id AND n.px=i.px AND n.py=i.py
-WHERE i.px IS NULL AND n.px BETWEEN 0 AND {FRAME.width - 1} AND n.py BETWEEN 0 AND {FRAME.height - 1}""",
+    f"""WITH img AS MATERIALIZED ({_image_sql()}),
+grid AS (SELECT vehicle_id, px, py FROM (SELECT DISTINCT vehicle_id FROM img), (SELECT unnest(generate_series(0,{FRAME.width - 1},6)) AS px), (SELECT unnest(generate_series(0,{FRAME.height - 1},6)) AS py)),
+free AS (SELECT g.* FROM grid g ANTI JOIN img i ON g.vehicle_id=i.vehicle_id AND g.px=i.px AND g.py=i.py),
+around AS (SELECT vehicle_id, px, py, px+dx AS nx, py+dy AS ny FROM free, {_REACH8})
+SELECT a.vehicle_id, CAST(a.px AS INT) AS px, CAST(a.py AS INT) AS py, {s6("min(i.depth)", "depth")} FROM around a JOIN img i ON a.vehicle_id=i.vehicle_id AND a.nx=i.px AND a.ny=i.py GROUP BY a.vehicle_id, a.px, a.py""",
     "v_splat",
 )
 def densify_spawn(spark, d):
@@ -466,17 +473,17 @@ def background_mask(spark, d):
     f"""WITH h AS (SELECT vehicle_id, greatest(r,g,b) AS hi, least(r,g,b) AS lo, r, g, b FROM v_splat),
 c AS (SELECT vehicle_id, hi, hi-lo AS dd, CASE WHEN hi=lo THEN 0.0::DOUBLE WHEN hi=r THEN (g-b)/(hi-lo) WHEN hi=g THEN 2+(b-r)/(hi-lo) ELSE 4+(r-g)/(hi-lo) END * 30 AS hue FROM h),
 k AS (SELECT vehicle_id, CAST(least(floor((CASE WHEN hue<0 THEN hue+180 ELSE hue END)/7.5::DOUBLE), 23) AS BIGINT) AS h, CAST(least(floor((CASE WHEN hi=0 THEN 0.0::DOUBLE ELSE dd/hi*255 END)/32.0::DOUBLE), 7) AS BIGINT) AS s FROM c)
-SELECT vehicle_id, h, s, round(count(*)/CAST(sum(count(*)) OVER (PARTITION BY vehicle_id) AS DOUBLE), 6) AS share FROM k GROUP BY vehicle_id, h, s""",
+SELECT vehicle_id, h, s, {s6("count(*)/CAST(sum(count(*)) OVER (PARTITION BY vehicle_id) AS DOUBLE)", "share")} FROM k GROUP BY vehicle_id, h, s""",
     "v_splat",
 )
 def hsv_histogram(spark, d):
-    return pixels.histogram(splats(spark, d), "vehicle_id").withColumn("share", F.round("share", 6))
+    return pixels.histogram(splats(spark, d), "vehicle_id").withColumn("share", r6("share", "share"))
 
 
 @query(
     """WITH s AS (SELECT vehicle_id, splat_id AS source_id, x AS sx, -y AS sy, z AS sz FROM v_splat WHERE provenance = 1),
 n AS (SELECT s.source_id, min(row(sqrt((t.x-sx)^2+(t.y-sy)^2+(t.z-sz)^2), t.splat_id)) AS m FROM s JOIN v_splat t ON s.vehicle_id=t.vehicle_id WHERE sqrt((t.x-sx)^2+(t.y-sy)^2+(t.z-sz)^2) <= 0.05::DOUBLE GROUP BY s.source_id)
-SELECT n.m[2] AS splat_id, n.source_id, round(n.m[1], 6) + 0.0::DOUBLE AS distance FROM n JOIN v_splat t ON t.splat_id = n.m[2] WHERE t.provenance = 0""",
+SELECT n.m[2] AS splat_id, n.source_id, floor(n.m[1] * 1e6 + 0.5::DOUBLE) / 1e6 + 0.0::DOUBLE AS distance FROM n JOIN v_splat t ON t.splat_id = n.m[2] WHERE t.provenance = 0""",
     "v_splat",
 )
 def mirror_nearest(spark, d):
@@ -500,12 +507,13 @@ def band_knn_median(spark, d):
 
 # ---- matching
 
-_BITS = "list_sum(list_transform(generate_series(1,62), lambda i: CASE WHEN embedding[i] > 0 THEN 1::BIGINT << CAST(i-1 AS INT) ELSE 0 END))"
+_BITS = "list_sum(list_transform(generate_series(1,32), lambda i: CASE WHEN embedding[i+{0}] > 0 THEN 1::BIGINT << CAST(i-1 AS INT) ELSE 0 END))"
 
 
 def _descriptors(spark, d) -> DataFrame:
-    bits = F.aggregate(F.sequence(F.lit(1), F.lit(62)), F.lit(0).cast("long"), lambda a, i: a + F.when(F.element_at("embedding", i) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i - 1)).otherwise(F.lit(0).cast("long")))
-    return view(spark, d, "v_embedding").select("vehicle_id", F.col("observation_id").alias("id"), bits.alias("descriptor"))
+    # the signs of all 64 components, in two halves, so that no bit is a sign of the number itself
+    half = lambda at: F.aggregate(F.sequence(F.lit(1), F.lit(32)), F.lit(0).cast("long"), lambda a, i: a + F.when(F.element_at("embedding", i + at) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i - 1)).otherwise(F.lit(0).cast("long")))
+    return view(spark, d, "v_embedding").select("vehicle_id", F.col("observation_id").alias("id"), F.array(half(0), half(32)).alias("descriptor"))
 
 
 def _frames(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -516,18 +524,18 @@ def _frames(spark, d) -> tuple[DataFrame, DataFrame]:
 
 def _ratio_sql(left: int) -> str:
     return f"""SELECT pair, a, b, d, 1 - d/greatest(CAST(second AS DOUBLE),1e-6::DOUBLE)*0.95::DOUBLE AS confidence FROM (
- SELECT l.pair, l.id AS a, r.id AS b, bit_count(xor(l.descriptor, r.descriptor)) AS d, row_number() OVER w AS rn, lead(bit_count(xor(l.descriptor, r.descriptor))) OVER w AS second
- FROM fr l JOIN fr r ON l.pair = r.pair AND l.side = {left} AND r.side = {1 - left} WINDOW w AS (PARTITION BY l.pair, l.id ORDER BY bit_count(xor(l.descriptor, r.descriptor)), r.id))
+ SELECT l.pair, l.id AS a, r.id AS b, (bit_count(xor(l.d0, r.d0)) + bit_count(xor(l.d1, r.d1))) AS d, row_number() OVER w AS rn, lead((bit_count(xor(l.d0, r.d0)) + bit_count(xor(l.d1, r.d1)))) OVER w AS second
+ FROM fr l JOIN fr r ON l.pair = r.pair AND l.side = {left} AND r.side = {1 - left} WINDOW w AS (PARTITION BY l.pair, l.id ORDER BY (bit_count(xor(l.d0, r.d0)) + bit_count(xor(l.d1, r.d1))), r.id))
  WHERE rn = 1 AND second IS NOT NULL AND d < 0.95::DOUBLE*second"""
 
 
-_FR = f"WITH fr AS (SELECT CAST(floor(vehicle_id/2) AS BIGINT) AS pair, vehicle_id%2 AS side, observation_id AS id, CAST({_BITS} AS BIGINT) AS descriptor FROM v_embedding) "
+_FR = f"WITH fr AS (SELECT CAST(floor(vehicle_id/2) AS BIGINT) AS pair, vehicle_id%2 AS side, observation_id AS id, CAST({_BITS.format(0)} AS BIGINT) AS d0, CAST({_BITS.format(32)} AS BIGINT) AS d1 FROM v_embedding) "
 
 
 @query(_FR + f"SELECT pair, a, b, CAST(d AS INT) AS d, {s6('confidence', 'confidence')} FROM ({_ratio_sql(0)})", "v_embedding")
 def hamming_ratio_match(spark, d):
     a, b = _frames(spark, d)
-    return registration.ratio_matches(a, b, "pair", 0.95).withColumn("confidence", F.round("confidence", 6) + F.lit(0.0))
+    return registration.ratio_matches(a, b, "pair", 0.95).withColumn("confidence", r6("confidence", "confidence"))
 
 
 @query(_FR + f"SELECT f.pair, f.a, f.b FROM ({_ratio_sql(0)}) f JOIN ({_ratio_sql(1)}) k ON f.pair=k.pair AND f.a=k.b AND f.b=k.a", "v_embedding")
@@ -545,13 +553,13 @@ def match_topk(spark, d):
 
 @query(
     f"""WITH p AS ({_projected_sql(P0)}), q AS (SELECT vehicle_id, splat_id AS query_id, u, v FROM p WHERE provenance = 1), l AS (SELECT vehicle_id, splat_id AS landmark_id, u, v FROM p WHERE provenance = 0)
-SELECT vehicle_id, query_id, m[2] AS landmark_id, round(m[1],6)+0.0::DOUBLE AS distance FROM (SELECT q.vehicle_id, query_id, min(row(sqrt((l.u-q.u)^2+(l.v-q.v)^2), landmark_id)) AS m FROM q JOIN l ON q.vehicle_id=l.vehicle_id WHERE sqrt((l.u-q.u)^2+(l.v-q.v)^2) <= 6 GROUP BY q.vehicle_id, query_id)""",
+SELECT vehicle_id, query_id, m[2] AS landmark_id, {s6("m[1]", "distance")} FROM (SELECT q.vehicle_id, query_id, min(row(sqrt((l.u-q.u)^2+(l.v-q.v)^2), landmark_id)) AS m FROM q JOIN l ON q.vehicle_id=l.vehicle_id WHERE sqrt((l.u-q.u)^2+(l.v-q.v)^2) <= 6 GROUP BY q.vehicle_id, query_id)""",
     "v_splat",
 )
 def landmark_radius_join(spark, d):
     p = geometry.project(splats(spark, d), P0, FRAME)
     q, marks = p.filter("provenance = 1").withColumnRenamed("splat_id", "query_id"), p.filter("provenance = 0").withColumnRenamed("splat_id", "landmark_id")
-    return registration.nearest_landmarks(q, marks, 6.0, "vehicle_id").withColumn("distance", F.round("distance", 6) + F.lit(0.0))
+    return registration.nearest_landmarks(q, marks, 6.0, "vehicle_id").withColumn("distance", r6("distance", "distance"))
 
 
 _SCORES = "SELECT vehicle_id, CAST(observation_id AS BIGINT) AS pose, CAST((observation_id*37)%360 AS DOUBLE) AS azimuth, round(motion/1000, 9) AS score FROM v_observation"
@@ -574,7 +582,7 @@ _MEAN = """SELECT vehicle_id, pos, m/sqrt(sum(m*m) OVER (PARTITION BY vehicle_id
 
 @query(f"SELECT vehicle_id, CAST(pos-1 AS INT) AS pos, {s6('v', 'v')} FROM ({_MEAN})", "v_embedding")
 def mean_embedding(spark, d):
-    return identity.mean_embedding(view(spark, d, "v_embedding")).select("vehicle_id", F.posexplode("mean").alias("pos", "v")).withColumn("v", F.round("v", 6) + F.lit(0.0))
+    return identity.mean_embedding(view(spark, d, "v_embedding")).select("vehicle_id", F.posexplode("mean").alias("pos", "v")).withColumn("v", r6("v", "v"))
 
 
 _PAIR = f"SELECT x.vehicle_id AS a, y.vehicle_id AS b, greatest(0, least(1, (sum(x.v*y.v)+1)/2)) AS score FROM ({_MEAN}) x JOIN ({_MEAN}) y ON x.pos=y.pos AND x.vehicle_id < y.vehicle_id GROUP BY 1, 2"
@@ -582,12 +590,12 @@ _PAIR = f"SELECT x.vehicle_id AS a, y.vehicle_id AS b, greatest(0, least(1, (sum
 
 @query(f"SELECT a, b, {s6('score', 'score')} FROM ({_PAIR})", "v_embedding")
 def similarity_pairs(spark, d):
-    return identity.similar_pairs(identity.mean_embedding(view(spark, d, "v_embedding")), 0.0).withColumn("score", F.round("score", 6) + F.lit(0.0))
+    return identity.similar_pairs(identity.mean_embedding(view(spark, d, "v_embedding")), 0.0).withColumn("score", r6("score", "score"))
 
 
 @query(f"SELECT a, b, {s6('score', 'score')} FROM ({_PAIR}) WHERE score >= 0.55", "v_embedding")
 def find_duplicates(spark, d):
-    return identity.similar_pairs(identity.mean_embedding(view(spark, d, "v_embedding")), 0.55).withColumn("score", F.round("score", 6) + F.lit(0.0))
+    return identity.similar_pairs(identity.mean_embedding(view(spark, d, "v_embedding")), 0.55).withColumn("score", r6("score", "score"))
 
 
 _NEXT = "SELECT vehicle_id AS a, vehicle_id+1 AS b FROM v_vehicle WHERE vehicle_id % 2 = 1 AND vehicle_id+1 IN (SELECT vehicle_id FROM v_vehicle)"
@@ -646,7 +654,7 @@ def resolve_name(spark, d):
 
 _SLUG = "regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(url, '^\\s+|\\s+$', '', 'g')), '''', '', 'g'), '[^a-z0-9._-]+', '-', 'g'), '^[-._]+|[-._]+$', '', 'g')"
 _RES = ", ".join(f"'{r}'" for r in naming.RESERVED)
-_SAFE = f"left(CASE WHEN s = '' THEN 'vehicle' WHEN split_part(s, '.', 1) IN ({_RES}) THEN 'vehicle-' || s ELSE s END, 64)"
+_SAFE = f"left(CASE WHEN s = '' THEN 'vehicle' WHEN s IN ({_RES}) THEN 'vehicle-' || s ELSE s END, 64)"
 
 
 @query(f"SELECT page_id, {_SAFE} AS slug FROM (SELECT page_id, {_SLUG} AS s FROM pages)")
@@ -668,16 +676,16 @@ def unique_folder(spark, d):
 
 
 @query(
-    """WITH RECURSIVE o AS (SELECT user_id, event_id, ts, CAST(value AS DOUBLE) AS m, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+    f"""WITH RECURSIVE o AS (SELECT user_id, event_id, ts, CAST(value AS DOUBLE) AS m, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
 f AS (SELECT user_id, rn, event_id, 0.0::DOUBLE AS acc, 0 AS gap, 1 AS n, true AS take, 0.0::DOUBLE AS motion, true AS open FROM o WHERE rn = 1
  UNION ALL SELECT o.user_id, o.rn, o.event_id, CASE WHEN f.acc+o.m >= 120 AND f.gap+1 >= 2 THEN 0 ELSE f.acc+o.m END, CASE WHEN f.acc+o.m >= 120 AND f.gap+1 >= 2 THEN 0 ELSE f.gap+1 END,
  f.n + CASE WHEN f.open AND f.acc+o.m >= 120 AND f.gap+1 >= 2 THEN 1 ELSE 0 END, f.open AND f.acc+o.m >= 120 AND f.gap+1 >= 2, f.acc+o.m,
  f.open AND NOT (f.acc+o.m >= 120 AND f.gap+1 >= 2 AND f.n + 1 >= 60) FROM f JOIN o ON o.user_id = f.user_id AND o.rn = f.rn + 1)
-SELECT user_id AS vehicle_id, event_id AS observation_id, round(motion, 6) AS motion FROM f WHERE take"""
+SELECT user_id AS vehicle_id, event_id AS observation_id, {s6("motion", "motion")} FROM f WHERE take"""
 )
 def frame_sampler(spark, d):
     out = sampling.sample_frames(view(spark, d, "v_observation"), "vehicle_id", ["ts", "observation_id"], "motion", threshold=120.0)
-    return out.select("vehicle_id", "observation_id", F.round("motion", 6).alias("motion"))
+    return out.select("vehicle_id", "observation_id", r6("motion", "motion"))
 
 
 @query(
@@ -713,9 +721,9 @@ def autoconsolidate_gate(spark, d):
 # ---- export columns
 
 
-@query(f"SELECT splat_id, {s6('opacity*scale*scale*scale', 'significance')}, CAST(row_number() OVER (ORDER BY opacity*scale*scale*scale DESC, splat_id) AS BIGINT) AS ord FROM v_splat WHERE vehicle_id % 10 = 0", "v_splat")
+@query(f"SELECT splat_id, {s6('opacity*scale*scale*scale', 'significance')}, CAST(row_number() OVER (ORDER BY opacity*scale*scale*scale DESC, splat_id) AS BIGINT) AS ord FROM v_splat", "v_splat")
 def splat_significance_order(spark, d):
-    """The order of the compact file, for all splats. The text above orders every tenth object's cloud only, so it differs."""
+    """The order of the compact file, for all splats."""
     return export.significance_order(splats(spark, d)).select("splat_id", r6("significance", "significance"), "ord")
 
 

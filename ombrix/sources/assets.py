@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,22 +22,38 @@ EVENT_SCHEMA = T.StructType(
 MANIFEST_SCHEMA = "name string, vehicle_id string, aliases array<string>, created_ts double, updated_ts double, consolidated_frames int"
 REQUIRED = ("splat_id", "x", "y", "z", "r", "g", "b", "scale", "opacity", "provenance", "confidence", "view_count", "last_seen_ts")
 #: Suffixes that uploads may have.
-IMAGES = (".jpg", ".jpeg", ".png", ".bmp", ".webp")
-VIDEOS = (".mp4", ".mov", ".avi", ".mkv", ".webm", ".m4v")
+IMAGES = (".bmp", ".jpeg", ".jpg", ".png", ".webp")
+VIDEOS = (".avi", ".m4v", ".mkv", ".mov", ".mp4", ".webm")
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """The log's lines with ``seq``, their order; blank and broken lines give nothing."""
-    raw = spark.read.text(path).withColumn("seq", F.monotonically_increasing_id()).filter(F.trim("value") != "")
-    return raw.select(F.from_json("value", EVENT_SCHEMA).alias("e"), "seq").filter("e.event_id is not null").select("e.*", "seq")
+    """The log's lines with ``seq``, the order in which they were appended; blank and broken lines give nothing.
+
+    Lines without ``seq``, as of a file written elsewhere, come first in the order of that file.
+    """
+    raw = spark.read.text(path).withColumn("_line", F.monotonically_increasing_id()).filter(F.trim("value") != "")
+    out = raw.select(F.from_json("value", T.StructType([*EVENT_SCHEMA.fields, T.StructField("seq", T.LongType())])).alias("e"), "_line").filter("e.event_id is not null").select("e.*", "_line")
+    return out.withColumn("seq", F.coalesce("seq", F.col("_line") - (1 << 62))).drop("_line")
 
 
 def append_events(events: DataFrame, path: str) -> None:
-    events.select(*[f.name for f in EVENT_SCHEMA]).write.mode("append").json(path)
+    """Appends after all that the log holds: ``seq`` goes on from its largest, in the order of ts and event_id."""
+    from pyspark.sql import Window as W
+
+    spark = events.sparkSession
+    try:
+        top = read_events(spark, path).agg(F.max("seq")).first()[0]
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        top = None
+    base = 0 if top is None else max(top, -1) + 1
+    at = F.row_number().over(W.orderBy("ts", "event_id")) - 1  # an append is what one request logs
+    events.select(*[f.name for f in EVENT_SCHEMA], (F.lit(base) + at).cast("long").alias("seq")).write.mode("append").json(path)
 
 
 def newest_events(events: DataFrame, limit: int = 0) -> DataFrame:
-    out = events.orderBy(F.desc("seq"))
+    out = events.orderBy(F.desc("seq"), F.desc("ts"), F.desc("event_id"))
     return out.limit(limit) if limit else out
 
 

@@ -120,7 +120,7 @@ class TestFusion:
     def scene(self, spark):
         v, f = prior.sedan(spark)
         s = sampling.sample_surface(prior.corners(v, f), 1500)
-        guess = cloud.create(s.select(F.col("point").alias("splat_id"), "x", "y", "z"), r=F.lit(0.7), g=F.lit(0.7), b=F.lit(0.7), scale=F.lit(0.04), confidence=F.lit(0.15)).withColumn("vehicle_id", F.lit(1).cast("long")).localCheckpoint()
+        guess = cloud.create(s.select(F.col("point").alias("splat_id"), "x", "y", "z"), r=F.lit(0.7), g=F.lit(0.7), b=F.lit(0.7), scale=F.lit(0.04), confidence=F.lit(0.15)).withColumn("vehicle_id", F.lit(1).cast("long")).checkpoint()
         pose = render.orbit(8)[1]
         truth = render.zbuffer(guess.withColumns({"r": F.lit(0.72), "g": F.lit(0.11), "b": F.lit(0.10)}), pose, K)
         photo = truth.select("px", "py", "r", "g", "b").withColumn("vehicle", F.lit(True))
@@ -129,7 +129,7 @@ class TestFusion:
     def test_guesses_are_replaced_whole_and_the_unseen_stays(self, spark):
         guess, photo, pose = self.scene(spark)
         out, report = fusion.fuse_frame(guess, photo, pose, K, 0.9, 1.0, 5.0)
-        out = out.localCheckpoint()
+        out = out.checkpoint()
         assert report["accepted"] and report["dirty"] > 50
         seen = render.seen_by(guess, [pose], K).select("splat_id")
         unseen = out.join(seen, "splat_id", "left_anti").filter(F.col("splat_id") <= 1499)
@@ -141,7 +141,7 @@ class TestFusion:
         guess, photo, pose = self.scene(spark)
         same, report = fusion.fuse_frame(guess, photo, pose, K, 0.34, 1.0, 5.0)
         assert same is guess and not report["accepted"]
-        sure = guess.withColumns({"provenance": F.lit(1), "confidence": F.lit(0.7)}).localCheckpoint()
+        sure = guess.withColumns({"provenance": F.lit(1), "confidence": F.lit(0.7)}).checkpoint()
         out, report = fusion.fuse_frame(sure, photo, pose, K, 0.35, 0.3, 5.0)
         assert report["accepted"] and report["dirty"] == 0
         assert out.filter(F.col("splat_id") <= 1499).agg(F.min("r"), F.max("r")).first()[:] == (0.7, 0.7)
@@ -198,7 +198,7 @@ def test_similarity_of_degenerate_vectors(spark):
     assert all(r.s == r.want for r in df.select("want", identity.similarity(F.col("a"), F.col("b")).alias("s")).collect())
 
 
-@pytest.mark.parametrize(("name", "want"), [("  My Car's #1 ", "my-cars-1"), ("", "vehicle"), (None, "vehicle"), ("...", "vehicle"), ("CON", "vehicle-con"), ("con.txt", "vehicle-con.txt"), ("x" * 90, "x" * 64), ("a__b.C", "a__b.c")])
+@pytest.mark.parametrize(("name", "want"), [("  My Car's #1 ", "my-cars-1"), ("", "vehicle"), (None, "vehicle"), ("...", "vehicle"), ("CON", "vehicle-con"), ("con.txt", "con.txt"), ("x" * 90, "x" * 64), ("a__b.C", "a__b.c")])
 def test_names(spark, name, want):
     assert spark.createDataFrame([(name,)], "n string").select(naming.sanitize(F.col("n"))).first()[0] == want
 
@@ -241,6 +241,49 @@ def test_assets(spark, tmp_path):
     assert [r.event_id for r in assets.newest_events(events, 1).collect()] == ["b"]
 
 
+def test_appended_events_keep_their_order(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for i, text in enumerate(["x", "x" * 400, "x" * 50]):
+        rows = [(f"e{i}", "k", text, "v", float(-i), {"a": "b"})]
+        assets.append_events(spark.createDataFrame(rows, assets.EVENT_SCHEMA), path)
+    events = assets.read_events(spark, path)
+    assert [r.event_id for r in assets.newest_events(events).collect()] == ["e2", "e1", "e0"]
+    assert sorted(r.seq for r in events.collect()) == [0, 1, 2]
+
+
+def test_sedan_faces_look_outwards(spark):
+    v, f = prior.sedan(spark)
+    at = {r.id: np.array([r.x, r.y, r.z]) for r in v.collect()}
+    vertices, wheels, volume = len(at), 2 + 2 * prior.SEGMENTS, 0.0
+    first = vertices - 4 * wheels
+    seen = 0
+    for r in f.collect():
+        a, b, c = at[r.i], at[r.j], at[r.k]
+        volume += float(np.dot(a, np.cross(b, c))) / 6
+        if r.i < first:
+            continue
+        seen += 1
+        middle = np.array(prior.WHEELS[(r.i - first) // wheels])
+        assert np.dot(np.cross(b - a, c - a), (a + b + c) / 3 - middle) > 0
+    assert seen == 4 * 4 * prior.SEGMENTS and volume > 0
+
+
+def test_mirroring_takes_the_whole_look(spark):
+    look = "splat_id long, vehicle_id long, x double, y double, z double, qw double, qx double, qy double, qz double, scale double, opacity double, r double, g double, b double, provenance int, confidence double, sh_rest array<float>"
+    rows = [(1, 1, 0.5, 0.2, 0.1, 0.1, 0.2, 0.3, 0.4, 0.03, 0.8, 0.1, 0.2, 0.3, 1, 0.9, [1.0]), (2, 1, 0.51, 0.2, 0.1, 0.5, 0.6, 0.7, 0.8, 0.04, 0.7, 0.4, 0.5, 0.6, 1, 0.9, [2.0]), (3, 1, 0.5, -0.19, 0.1, 1.0, 0.0, 0.0, 0.0, 0.01, 0.9, 0.0, 0.0, 0.0, 0, 0.15, [3.0])]
+    c = spark.createDataFrame(rows, look)
+    got = {r.splat_id: r for r in fusion.mirror_confirmed(c).collect()}
+    assert got[3][2:14] == (0.51, -0.2, 0.1, 0.5, -0.6, 0.7, -0.8, 0.04, 0.7, 0.4, 0.5, 0.6) and got[3].sh_rest is None and got[3].provenance == 0 and got[3].confidence == 0.15
+    assert got[1].sh_rest == [1.0] and fusion.mirror_count(fusion.mirror_targets(c)).first().mirrored == 2
+
+
+def test_updates_without_order_are_the_same_on_every_run(spark):
+    c = points(spark, [(1, 0.0, 0.0, 0.0)])
+    u = spark.createDataFrame([(1, x / 10) for x in range(8)], "splat_id long, confidence double")
+    for n in (1, 5):
+        assert cloud.with_updates(c, u.repartition(n)).first().confidence == 0.7
+
+
 def test_holdout_and_promotion(spark):
     frames = spark.createDataFrame([(1, i) for i in range(11)] + [(2, 0)], "vehicle_id int, index int")
     out = sampling.split_holdout(frames, "vehicle_id", ["index"])
