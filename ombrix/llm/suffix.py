@@ -1,19 +1,20 @@
-"""Repeated byte strings by minimiser anchors and grouping by hashes, in place of a depth-limited radix sort of suffixes.
-
-Suffixes are told apart only through ``window`` bytes, and none is ordered by them. The first part of a window's key is
-the window's *anchor*, the gram of CORE bytes in it whose hash is smallest (leftmost among equals). Equal windows
-have equal anchors at equal places, and neighbouring windows share one, so the first pass deals about one record per
-35 bytes, not one per byte:
-
-1. pass over the anchor, then over the *context*, all bytes that the run of windows around an anchor covers. A run
-   whose context occurred before repeats as a whole. Where an anchor has one context only, nothing else can repeat.
-2. where an anchor has several contexts, the windows of each context's first run are dealt by the remaining bytes;
-   equal groups are exactly the repeated windows, and all but the earliest of a group are removed.
-
-Parts of the key are compared by 64-bit hashes, two of them (anchor and rest) for any verdict of equality. Records travel packed in
-Arrow buffers, one per bucket of digits, and every batch settles what repeats inside it first. So a bucket gets a
-record per batch and string at most, however often a string occurs; an anchor that has many contexts within a batch is
-dealt by whole windows at once.
+"""Repeated byte strings by a depth-limited radix sort of suffixes: most significant digits first, no further than needed.
+
+A suffix counts through ``window`` bytes only, and suffixes that are equal so far are exactly the repeated windows. Passes run
+over digits of 8 bytes, and a suffix leaves them once no other shares its digits. To spare most suffixes even the first
+pass, they are dealt by a digit that lies inside the window rather than at its start, and are sieved on the way:
+
+1. the *anchor* of a window is the gram of CORE bytes in it whose hash is smallest (leftmost among equals). Equal windows
+   have equal anchors at equal places, and neighbouring windows share one, so the anchors deal one record per some 35
+   bytes. A window whose anchor occurs nowhere else occurs once and is done; a hash serves here only to tell strings apart.
+2. for anchors that occur again, the *contexts* travel: all bytes that the run of windows around an anchor covers. Digit
+   passes over whole contexts find runs that repeat as one; the first stays.
+3. where an anchor keeps several contexts, digit passes over their windows, side by side at equal places of the anchor, find
+   the rest. All but the earliest of equal windows are removed.
+
+Every verdict of equality is one of bytes. Records travel packed in Arrow buffers, one per bucket, and every batch settles what
+repeats inside it first, so a bucket gets a record per batch and string at most, however often a string occurs; an anchor
+that has many contexts within a batch is dealt window by window, spread over all buckets.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .blobs import SCHEMA, TEXT, columns_of, dealt, digit, home, of_kind, packed_texts, passed_on, rows, table_of
-from .common import BLOCK_BYTES, buckets_for, byte_table, documents, mix64, with_uid, written
+from .common import BLOCK_BYTES, buckets_for, byte_table, documents, mix64, same_spans, with_uid, words_of, written
 from .pretoken import batches, text_runs
 
 CORE = 32
@@ -74,18 +76,23 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+#: Bits that number the places of a block; a hash is cut by as many, alike in all blocks.
+_PLACE_BITS = 20
+
+
 def anchors(buf: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """(first window, last window, anchor, core hash, context hash) of runs of windows with the same anchor.
 
     ends: of the documents in buf. Every window that lies in one document is in exactly one run. The anchor is the
-    leftmost of the window's CORE-byte grams of smallest hash, so equal windows have it at the same place.
+    leftmost of the window's CORE-byte grams of smallest hash, which depends on the window's bytes alone.
     """
     n = len(buf)
+    if n >= 1 << _PLACE_BITS:
+        raise ValueError("the block is too long")
     if n < window:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     core, whole = gram_hashes(buf, [CORE, window])
-    bits = np.uint64(max(1, int(n).bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
+    low = np.uint64((1 << _PLACE_BITS) - 1)
     key = (core & ~low) | np.arange(len(core), dtype=np.uint64)
     at = (sliding_min(key, window - CORE + 1) & low).astype(np.int64)
     limit = np.repeat(ends, np.diff(ends, prepend=0))
@@ -99,7 +106,38 @@ def anchors(buf: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray,
     return first, stop, at[first], mix64(core[at[first]] ^ np.uint64(0xA0761D6478BD642F)), context
 
 
-def _orders(uid, first, core, context, off, homes: int, kind, stop) -> list[tuple[int, int, dict]]:
+def radix(words: np.ndarray, at: np.ndarray, depth: np.ndarray, *dealt_by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Most-significant-digit passes over suffixes: (order, which in that order begins a new string).
+
+    A suffix is the ``depth`` bytes from ``at`` on; words: 8 bytes from every place (:func:`common.words_of`). Suffixes are dealt by
+    ``dealt_by`` and depth first, then by one digit of 8 bytes after the other; one that is alone with its digits takes
+    part no more. Equal strings end up side by side, in the order they came in.
+    """
+    order = np.lexsort((depth, *reversed(dealt_by)))
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in (depth, *dealt_by)])
+    for done in range(0, int(depth.max()) if len(order) else 0, 8):
+        alone = new & np.append(new[1:], True)
+        own = np.flatnonzero(~alone & (depth[order] > done))
+        if not len(own):
+            break
+        row = order[own]
+        digit_ = (words[at[row] + done] & _LEFT[np.minimum(depth[row] - done, 8)]).byteswap()
+        if (digit_[1:] == digit_[:-1])[~new[own][1:]].all():
+            continue  # nothing parts here, as in runs of copies
+        group = np.cumsum(new)[own]
+        moved = np.lexsort((digit_, group))
+        order[own] = row[moved]
+        digit_, group = digit_[moved], group[moved]
+        new[own[1:]] |= (digit_[1:] != digit_[:-1]) & (group[1:] == group[:-1])
+    return order, new
+
+
+_LEFT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _orders(uid, first, core, off, homes: int, kind, stop) -> list[tuple[int, int, dict]]:
     """What documents are told: remove bytes [first, stop), or expand the windows from first up to stop."""
     if not len(uid):
         return []
@@ -124,7 +162,7 @@ def _removals(uid: np.ndarray, first: np.ndarray, stop: np.ndarray, homes: int)
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(uid)) - 1
     zero = np.zeros(len(at), np.uint64)
-    return _orders(uid[at], first[at], zero, zero, np.zeros(len(at), np.int16), homes, REMOVE, reach[last])
+    return _orders(uid[at], first[at], zero, np.zeros(len(at), np.int16), homes, REMOVE, reach[last])
 
 
 def _first_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,14 +176,18 @@ def _first_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class _Records:
-    """Anchor records of a task until they are sent."""
+    """Anchor records of a task, and the bytes they were found in, until they are sent."""
 
-    NAMES = ("core", "context", "uid", "first", "last", "off")
+    NAMES = ("core", "context", "uid", "first", "last", "off", "place")
 
     def __init__(self, window: int, buckets: int, homes: int):
         self.window, self.buckets, self.homes = window, buckets, homes
+        self.reset()
+
+    def reset(self) -> None:
         self.held: list[dict] = []
-        self.n = 0
+        self.bytes: list[np.ndarray] = []
+        self.n = self.size = 0
 
     def add(self, uids: np.ndarray, texts: list[bytes]) -> None:
         for i, j in batches(texts, BLOCK_BYTES // 2):
@@ -161,97 +203,167 @@ class _Records:
         first, last, at, core, context = anchors(buf, ends, self.window)
         owner = np.searchsorted(ends, first, side="right")
         base = starts[owner]
-        self.held.append({"core": core, "context": context, "uid": uids[owner], "first": first - base, "last": last - base, "off": (at - first).astype(np.int16)})
-        self.n += len(first)
+        self.held.append({"core": core, "context": context, "uid": uids[owner], "first": first - base, "last": last - base, "off": (at - first).astype(np.int16), "place": first + self.size})
+        self.bytes.append(buf)
+        self.n, self.size = self.n + len(first), self.size + len(buf)
 
     def flush(self) -> list[tuple[int, int, dict]]:
         if not self.n:
-            self.held = []
+            self.reset()
             return []
-        r = {k: np.concatenate([h[k] for h in self.held]) for k in self.NAMES}
-        self.held, self.n = [], 0
+        r, buf = {k: np.concatenate([h[k] for h in self.held]) for k in self.NAMES}, np.concatenate(self.bytes)
+        self.reset()
         order, new, new_core = _first_of(r["core"], r["context"], r["uid"], r["first"])
         r = {k: v[order] for k, v in r.items()}
+        # a context repeats if its bytes are those of the first one with its hash
+        late = np.flatnonzero(~new)
+        lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))[late]
+        size = r["last"] - r["first"] + self.window
+        words = words_of(buf)
+        same = size[late] == size[lead]
+        some = np.flatnonzero(same)
+        same[some] = same_spans(buf, r["place"][lead[some]], buf, r["place"][late[some]], size[late[some]], words, words)
+        new[late[~same]] = True
         again = ~new
         out = [(self.buckets + b, k, c) for b, k, c in _removals(r["uid"][again], r["first"][again], r["last"][again] + self.window, self.homes)]
         contexts = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_core))
         hot = (np.repeat(contexts, np.diff(np.append(np.flatnonzero(new_core), len(new)))) > MANY) & new
         if hot.any():
             h = {k: v[hot] for k, v in r.items()}
-            out += [(self.buckets + b, k, c) for b, k, c in _orders(h["uid"], h["first"], h["core"], h["context"], h["off"], self.homes, EXPAND_WINDOWS, h["last"] + 1)]
+            out += [(self.buckets + b, k, c) for b, k, c in _orders(h["uid"], h["first"], h["core"], h["off"], self.homes, EXPAND_WINDOWS, h["last"] + 1)]
             mark = np.unique(h["core"])
             z = np.zeros(len(mark), np.int64)
-            out += dealt({"core": mark, "context": z.astype(np.uint64), "uid": z, "first": z, "size": z.astype(np.int16), "off": z.astype(np.int16), "mark": z.astype(np.int8) + 1}, digit(mark, self.buckets), 0)
+            out += dealt({"core": mark, "uid": z, "first": z, "size": z.astype(np.int16), "off": z.astype(np.int16), "mark": z.astype(np.int8) + 1}, digit(mark, self.buckets), 0)
         keep = new & ~hot
         k = {n: v[keep] for n, v in r.items()}
-        return out + dealt({"core": k["core"], "context": k["context"], "uid": k["uid"], "first": k["first"], "size": (k["last"] - k["first"]).astype(np.int16), "off": k["off"], "mark": np.zeros(len(k["uid"]), np.int8)}, digit(k["core"], self.buckets), 0)
+        return out + dealt({"core": k["core"], "uid": k["uid"], "first": k["first"], "size": (k["last"] - k["first"]).astype(np.int16), "off": k["off"], "mark": np.zeros(len(k["uid"]), np.int8)}, digit(k["core"], self.buckets), 0)
 
 
 def _settle_anchors(r: dict[str, np.ndarray], window: int, homes: int) -> list[tuple[int, int, dict]]:
-    """One bucket of anchors: what repeats as a whole goes, what shares an anchor only is to be expanded."""
-    order, new, new_core = _first_of(r["core"], np.where(r["mark"] == 1, np.uint64(0), r["context"]), r["uid"], r["first"])
+    """One bucket of anchors: the runs of an anchor that occurs once are done, all others are to be expanded."""
+    order = np.argsort(r["core"], kind="stable")
     r = {k: v[order] for k, v in r.items()}
+    at = np.flatnonzero(np.append(True, r["core"][1:] != r["core"][:-1]))
+    size = np.diff(np.append(at, len(order)))
     real = r["mark"] == 0
-    marked = r["core"][~real]
-    fresh = np.append(True, (r["core"][1:] != r["core"][:-1]) | (r["context"][1:] != r["context"][:-1]) | (r["mark"][1:] != r["mark"][:-1]))
-    del new
-    again = real & ~fresh
-    out = _removals(r["uid"][again], r["first"][again], r["first"][again] + r["size"][again] + window, homes)
-    at = np.flatnonzero(new_core)
-    contexts = np.repeat(np.add.reduceat((real & fresh).astype(np.int64), at), np.diff(np.append(at, len(real)))) if len(at) else np.zeros(0, int)
-    hot = np.isin(r["core"], marked)
-    want = real & fresh & (hot | (contexts > 1))
+    hot = np.repeat(np.logical_or.reduceat(~real, at), size)
+    want = real & (hot | (np.repeat(size, size) > 1))
     w = {k: v[want] for k, v in r.items()}
-    return out + _orders(w["uid"], w["first"], w["core"], w["context"], w["off"], homes, np.where(hot[want], EXPAND_WINDOWS, EXPAND), w["first"] + w["size"] + 1)
+    return _orders(w["uid"], w["first"], w["core"], w["off"], homes, np.where(hot[want], EXPAND_WINDOWS, EXPAND), w["first"] + w["size"] + 1)
 
 
-def _window_keys(buf: np.ndarray, at: np.ndarray, core: np.ndarray, off: np.ndarray, window: int) -> np.ndarray:
-    """The rest of the windows' keys: their bytes and where in them the anchor lies."""
-    return mix64(gram_hashes(buf, [window], seed=1013)[0][at] + off.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+class _Contexts:
+    """Contexts with their bytes: numbers core, uid, first, off, size, and where their bytes begin."""
 
+    def __init__(self, data: list[bytes], core, uid, first, off, window: int):
+        self.core, self.uid, self.first, self.off, self.window = core, uid, first, off.astype(np.int64), window
+        self.size = np.fromiter(map(len, data), np.int64, len(data))
+        self.at = np.cumsum(self.size) - self.size
+        self.words = words_of(np.frombuffer(b"".join(data), np.uint8))
 
-def _settle_windows(core, rest, uid, place, window: int, homes: int) -> tuple[list, np.ndarray, np.ndarray]:
-    """(removals of all but the earliest of equal windows, order, which rows in that order come first)"""
-    order, new, _ = _first_of(core, rest, uid, place)
-    again = order[~new]
-    return _removals(uid[again], place[again], place[again] + window, homes), order, new
+    def settle(self) -> tuple[list[tuple], np.ndarray]:
+        """(uid, first, stop) of runs that repeat as a whole, and which contexts come first."""
+        by = np.lexsort((self.first, self.uid))
+        order, new = radix(self.words, self.at[by], self.size[by], self.core[by], self.off[by])
+        order = by[order]
+        late = order[~new]
+        return [(self.uid[late], self.first[late], self.first[late] + self.size[late])], np.sort(order[new])
+
+    def windows(self, own: np.ndarray):
+        """(context, place in it) of every window of the contexts ``own``."""
+        each = self.size[own] - self.window + 1
+        return np.repeat(own, each), np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+
+    def settle_windows(self, own: np.ndarray) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+        """(uid, start, stop) of all but the earliest of equal windows, and the (context, place) of the others."""
+        k, step = self.windows(own)
+        by = np.lexsort((self.first[k] + step, self.uid[k]))
+        k, step = k[by], step[by]
+        order, new = radix(self.words, self.at[k] + step, np.full(len(k), self.window), self.core[k], self.off[k] - step)
+        late = order[~new]
+        start = self.first[k[late]] + step[late]
+        return [(self.uid[k[late]], start, start + self.window)], k[order[new]], step[order[new]]
+
+
+def _cut(found: list[tuple], homes: int) -> list[tuple[int, int, dict]]:
+    return [x for uid, a, b in found for x in _removals(uid, a, b, homes)]
+
+
+#: Windows that digit passes order at a time, at the most, but for those of one anchor.
+AT_ONCE = 1 << 19
 
 
 def _expand(texts: dict[int, bytes], r: dict[str, np.ndarray], window: int, buckets: int, homes: int) -> list[tuple[int, int, dict]]:
-    """Fetches contexts, or whole windows' keys, from a home's texts."""
+    """Fetches contexts, or the windows of hot anchors one by one, from a home's texts."""
     out = []
     some = r["what"] == EXPAND
     if some.any():
         u, a, b = r["uid"][some], r["first"][some], r["stop"][some] - 1 + window
-        data = [texts[i][s:e] for i, s, e in zip(u.tolist(), a.tolist(), b.tolist(), strict=True)]
-        bucket = digit(r["core"][some], buckets)
-        order = np.argsort(bucket, kind="stable")
+        core, off = r["core"][some], r["off"][some]
+        bucket = digit(core, buckets)
+        order = np.lexsort((a, u, bucket))  # neighbours in a text overlap, which compression takes out
         edge = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1]))
         for s, e in zip(edge, np.append(edge[1:], len(order)), strict=True):
             own = order[s:e]
-            out.append((int(bucket[own[0]]), 2, pa.RecordBatch.from_arrays([pa.array(r["core"][some][own]), pa.array(u[own]), pa.array(a[own]), pa.array(r["off"][some][own]), pa.array([data[k] for k in own], pa.binary())], ["core", "uid", "first", "off", "data"])))
+            data = [texts[i][x:y] for i, x, y in zip(u[own].tolist(), a[own].tolist(), b[own].tolist(), strict=True)]
+            out.append((int(bucket[own[0]]), 2, pa.RecordBatch.from_arrays([pa.array(core[own]), pa.array(u[own]), pa.array(a[own]), pa.array(off[own]), pa.array(data, pa.binary())], ["core", "uid", "first", "off", "data"])))
     whole = np.flatnonzero(r["what"] == EXPAND_WINDOWS)
+    whole = whole[np.argsort(r["core"][whole], kind="stable")]
     for s in range(0, len(whole), 4096):
         own = whole[s : s + 4096]
         data = [texts[i][a:b] for i, a, b in zip(r["uid"][own].tolist(), r["first"][own].tolist(), (r["stop"][own] - 1 + window).tolist(), strict=True)]
-        core, rest, uid, place = _spread(data, r["core"][own], r["uid"][own], r["first"][own], r["off"][own], window)
-        removed, order, new = _settle_windows(core, rest, uid, place, window, homes)
-        out += [(buckets + b, k, c) for b, k, c in removed]
-        keep = order[new]
-        out += dealt({"core": core[keep], "rest": rest[keep], "uid": uid[keep], "place": place[keep]}, digit(rest[keep], buckets), 3)
+        held = _Contexts(data, r["core"][own], r["uid"][own], r["first"][own], r["off"][own], window)
+        gone, first = held.settle()
+        more, k, step = held.settle_windows(first)
+        out += [(buckets + b, n, c) for b, n, c in _cut(gone + more, homes)]
+        raw = b"".join(data)
+        at = held.at[k] + step
+        key = mix64(gram_hashes(np.frombuffer(raw, np.uint8), [window], seed=1013)[0][at])
+        bucket = digit(key, buckets)
+        by = np.argsort(bucket, kind="stable")  # within a bucket in the order of their bytes
+        edge = np.flatnonzero(np.append(True, bucket[by][1:] != bucket[by][:-1]))
+        for x, y in zip(edge, np.append(edge[1:], len(by)), strict=True):
+            j = by[x:y]
+            strings = pa.array([raw[i : i + window] for i in at[j].tolist()], pa.binary(window))
+            out.append((int(bucket[j[0]]), 3, pa.RecordBatch.from_arrays([pa.array(held.uid[k[j]]), pa.array(held.first[k[j]] + step[j]), strings], ["uid", "place", "data"])))
+    return out
+
+
+def _settle_contexts(t: pa.Table, window: int, homes: int) -> list[tuple[int, int, dict]]:
+    """One bucket of contexts, as many anchors at a time as keeps the arrays small."""
+    order = np.argsort(t.column("core").to_numpy(), kind="stable")
+    core, uid, first, off = (t.column(n).to_numpy()[order] for n in ("core", "uid", "first", "off"))
+    data, out, at = t.column("data").combine_chunks(), [], 0
+    upto = np.cumsum(pc.binary_length(data).to_numpy(zero_copy_only=False)[order].astype(np.int64))
+    while at < len(core):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 4 * AT_ONCE, side="right")))
+        to = int(np.searchsorted(core, core[to - 1], side="right"))
+        held = _Contexts(data.take(pa.array(order[at:to])).to_pylist(), core[at:to], uid[at:to], first[at:to], off[at:to], window)
+        gone, left = held.settle()
+        by = left[np.argsort(held.core[left], kind="stable")]
+        new = np.append(True, held.core[by][1:] != held.core[by][:-1])
+        size = np.diff(np.append(np.flatnonzero(new), len(by)))
+        several = by[np.repeat(size, size) > 1]
+        out += _cut(gone, homes)
+        each = np.cumsum(held.size[several] - window + 1)
+        a = 0
+        while a < len(several):
+            b = max(a + 1, int(np.searchsorted(each, (each[a - 1] if a else 0) + AT_ONCE, side="right")))
+            b = int(np.searchsorted(held.core[several], held.core[several[b - 1]], side="right"))
+            out += _cut(held.settle_windows(several[a:b])[0], homes)
+            a = b
+        at = to
     return out
 
 
-def _spread(data: list[bytes], core, uid, first, off, window: int):
-    """(core, rest of the key, uid, place) of every window of the contexts."""
-    sizes = np.fromiter(map(len, data), np.int64, len(data))
-    each = sizes - window + 1
-    base = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(data)), each)
-    step = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
-    buf = np.frombuffer(b"".join(data), np.uint8)
-    rest = _window_keys(buf, base[owner] + step, core[owner], (off[owner] - step), window)
-    return core[owner], rest, uid[owner], first[owner] + step
+def _settle_strings(t: pa.Table, window: int, homes: int) -> list[tuple[int, int, dict]]:
+    """One bucket of hot anchors' windows."""
+    uid, place = t.column("uid").to_numpy(), t.column("place").to_numpy()
+    by = np.lexsort((place, uid))
+    words = words_of(np.frombuffer(b"".join(t.column("data").to_pylist()), np.uint8))
+    order, new = radix(words, by * window, np.full(len(by), window))
+    late = by[order[~new]]
+    return _cut([(uid[late], place[late], place[late] + window)], homes)
 
 
 def repeats(docs: DataFrame, window: int = 100) -> tuple[DataFrame, int]:
@@ -300,22 +412,11 @@ def repeats(docs: DataFrame, window: int = 100) -> tuple[DataFrame, int]:
         if bucket >= buckets:
             return passed_on(table, buckets)
         parts = []
-        contexts = table_of(of_kind(table, 2))
+        contexts, strings = table_of(of_kind(table, 2)), table_of(of_kind(table, 3))
         if contexts is not None:
-            order = np.argsort(contexts.column("core").to_numpy(), kind="stable")
-            core = contexts.column("core").to_numpy()[order]
-            uid, first, off = (contexts.column(n).to_numpy()[order] for n in ("uid", "first", "off"))
-            data = contexts.column("data").to_pylist()
-            # as many anchors at a time as keeps the arrays small; an anchor has few contexts here
-            at = 0
-            while at < len(core):
-                to = min(at + 20_000, len(core))
-                to = int(np.searchsorted(core, core[to - 1], side="right"))
-                parts += _settle_windows(*_spread([data[k] for k in order[at:to]], core[at:to], uid[at:to], first[at:to], off[at:to], window), window, homes)[0]
-                at = to
-        w = columns_of(of_kind(table, 3))
-        if w:
-            parts += _settle_windows(w["core"], w["rest"], w["uid"], w["place"], window, homes)[0]
+            parts += _settle_contexts(contexts, window, homes)
+        if strings is not None:
+            parts += _settle_strings(strings, window, homes)
         return rows(parts)
 
     fetched = packed_texts(texts, homes).unionByName(orders).groupBy("bucket").applyInArrow(fetch, SCHEMA)

@@ -61,8 +61,9 @@ def run(spark, rows, k, rule):
     return sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id if r.component_id is not None else -1) for r in got)
 
 
-@pytest.mark.parametrize(("seed", "k", "num", "den", "flush", "most"), [(1, 3, 90, 100, 1 << 20, 1 << 21), (2, 5, 4, 5, 200, 400)])
-def test_equals_brute_force(spark, monkeypatch, seed, k, num, den, flush, most):
+@pytest.mark.parametrize(("seed", "k", "num", "den", "flush", "most"), [(1, 3, 90, 100, 1 << 20, 1 << 21), (2, 5, 4, 5, 200, 400), (3, 3, 1, 2, 200, 150)])
+def test_equals_brute_force(spark, monkeypatch, by_value, seed, k, num, den, flush, most):
+    by_value(jaccard)
     monkeypatch.setattr(jaccard, "FLUSH", flush)
     monkeypatch.setattr(jaccard, "MOST_TOKENS", most)
     rows = corpus(seed)

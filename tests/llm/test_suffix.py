@@ -45,7 +45,8 @@ def run(spark, rows, window=100):
 
 
 @pytest.mark.parametrize(("seed", "many", "flush", "block"), [(1, 16, 1 << 20, 1 << 20), (2, 1, 50, 700)])
-def test_equals_the_rule(spark, monkeypatch, seed, many, flush, block):
+def test_equals_the_rule(spark, monkeypatch, by_value, seed, many, flush, block):
+    by_value(suffix)
     monkeypatch.setattr(suffix, "MANY", many)
     monkeypatch.setattr(suffix, "FLUSH", flush)
     monkeypatch.setattr(suffix, "BLOCK_BYTES", block)
@@ -78,3 +79,32 @@ def test_gram_hashes_are_local():
     buf = np.frombuffer(bytes(range(256)) * 2, np.uint8)
     for a, b in zip(suffix.gram_hashes(buf, [100, 32, 7]), suffix.gram_hashes(buf[5:], [100, 32, 7]), strict=True):
         assert (a[5:] == b).all() and len(np.unique(a[:150])) == 150
+
+
+def test_verdicts_rest_on_bytes(spark, monkeypatch, by_value):
+    """With hashes of four bits almost everything collides, and the result is the same."""
+    by_value(suffix)
+    strong = suffix.gram_hashes
+    monkeypatch.setattr(suffix, "gram_hashes", lambda buf, lengths, seed=7: [h & np.uint64(0xF << 20) for h in strong(buf, lengths, seed)])
+    rows = corpus(4, 40)
+    assert run(spark, rows) == sorted(brute(rows, 100), key=lambda r: r[0])
+
+
+def test_long_runs_of_one_character(spark):
+    n = 3_000_000
+    rows = [(1, "x" * n), (2, "start " + "x" * 400_000 + " end"), (3, "y" * 99)]
+    got = {r[0]: r[1:4] for r in run(spark, rows)}
+    assert got == {1: (n, n - 1, 1), 2: (400_010, 400_000, 1), 3: (99, 0, 0)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_digit_passes_sort(seed):
+    rnd = np.random.default_rng(seed)
+    buf = rnd.integers(97, 99, 4000).astype(np.uint8)
+    at = rnd.integers(0, 3900, 700)
+    depth = rnd.choice([3, 8, 21], 700)
+    order, new = suffix.radix(suffix.words_of(buf), at, depth, at % 2)
+    keys = [(int(a % 2), int(d), buf[a : a + d].tobytes(), i) for i, (a, d) in enumerate(zip(at, depth, strict=True))]
+    assert order.tolist() == [k[3] for k in sorted(keys)]
+    last = [keys[i][:3] for i in order]
+    assert new.tolist() == [not i or last[i] != last[i - 1] for i in range(700)]
