@@ -13,6 +13,8 @@ Codebooks are fitted on the SAMPLE vectors of smallest id hash (a bound, whateve
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -156,17 +158,14 @@ def nearest(query: np.ndarray, ids: np.ndarray, columns: np.ndarray, guess: np.n
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding as doubles), one row per vec_id: the vectors that take part.
 
-    Left out: null ids, and vectors that are null, empty, zero, hold null or non-finite components, or have
-    another length than most (ties: the longer). Of rows that repeat a vec_id the smallest vector counts.
+    Left out: null ids, and vectors that are null, empty, zero, or hold null or non-finite components. Of rows that
+    repeat a vec_id the smallest vector counts.
     """
     v = F.col("embedding")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))) & F.exists(v, lambda x: x != 0)
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<double>").alias("embedding")).filter("vec_id is not null and embedding is not null").filter(F.coalesce(fine, F.lit(False)))
-    sizes = own.groupBy(F.size("embedding").alias("n")).agg(F.count(F.lit(1)).alias("c"), F.count_distinct("vec_id").alias("d")).orderBy(F.desc("c"), F.desc("n")).limit(1).collect()
-    if not sizes:
-        return own
-    own = own.filter(F.size("embedding") == sizes[0].n)
-    return own if sizes[0].c == sizes[0].d else own.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    n = own.agg(F.count(F.lit(1)).alias("c"), F.count_distinct("vec_id").alias("d")).first()
+    return own if n.c == n.d else own.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
 def _matrix(column, n: int) -> np.ndarray:
@@ -176,12 +175,22 @@ def _matrix(column, n: int) -> np.ndarray:
 def search(vectors: DataFrame, is_query, k: int = 10, rerank: int = RERANK) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest by Euclidean distance, ties to smaller vec_id.
 
-    is_query: a condition on vec_id. Every usable row (see :func:`usable`) but the query's own is a candidate.
+    is_query: a condition on vec_id. Every usable row (see :func:`usable`) of the query's length, but its own, is a
+    candidate; vectors of other lengths have no distance from it. Each length has an index of its own.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
-    schema = "query_id long, rank int, vec_id long, score double"
     own = written(usable(vectors), "vectors")
+    lengths = [r[0] for r in own.select(F.size("embedding")).distinct().orderBy(F.size("embedding")).collect()]
+    if len(lengths) < 2:
+        return _search(own, is_query, k, rerank)
+    return reduce(DataFrame.unionByName, [_search(written(own.filter(F.size("embedding") == n), "vectors"), is_query, k, rerank) for n in lengths])
+
+
+def _search(own: DataFrame, is_query, k: int, rerank: int) -> DataFrame:
+    """:func:`search` among written vectors of one length."""
+    spark = own.sparkSession
+    schema = "query_id long, rank int, vec_id long, score double"
     sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     if not sample:
         return spark.createDataFrame([], schema)
