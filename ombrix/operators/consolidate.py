@@ -36,3 +36,10 @@ def due(frames: Column, consolidated: Column, enabled: bool = True, least: int =
 
 def ui_state(running: Column, consolidated: Column) -> Column:
     return F.when(running, "refining").when(consolidated > 0, "ready").otherwise("none")
+
+
+def reset_opacity(most: float = 0.05) -> Column:
+    """Opacities held down after new splats were added, as logits; training brings the needed ones back."""
+    from .geometry import logit
+
+    return F.least(logit(F.col("opacity")), logit(F.lit(most)))

@@ -190,3 +190,38 @@ def candidate_poses(box: DataFrame, azimuths: int, heights: int) -> DataFrame:
     out = out.withColumns({"pose": F.col("h") * azimuths + F.col("a"), "azimuth": F.col("a") * (2 * math.pi / azimuths)})
     rise = F.lit(heights - 1) if heights > 1 else F.lit(1)
     return out.withColumns({"ex": F.col("cx") + radius * F.cos("azimuth"), "ey": F.col("cy") + radius * F.sin("azimuth"), "ez": lo + (hi - lo) * F.col("h") / rise})
+
+
+def bootstrap_pose(cloud: DataFrame, k: Intrinsics, *keys: str) -> DataFrame:
+    """(keys, radius, ex, ey, ez): a three-quarter view from which the whole object fits the frame; two aggregations."""
+    mean = cloud.groupBy(*keys).agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"])
+    gap = [F.col(c) - F.col(f"m{c}") for c in "xyz"]
+    far = F.sqrt(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2])
+    own = cloud.select(*keys, "x", "y", "z").join(mean, list(keys)) if keys else cloud.select("x", "y", "z").crossJoin(F.broadcast(mean))
+    out = own.groupBy(*keys, "mx", "my", "mz").agg(F.max(far).alias("radius"))
+    back = F.col("radius") / (0.5 * k.width / k.fx) * 1.4
+    return out.select(*keys, "radius", (F.col("mx") + 0.82 * back).alias("ex"), (F.col("my") - 0.52 * back).alias("ey"), (F.col("mz") + 0.55 * F.col("radius")).alias("ez"))
+
+
+def align_poses(poses: list[Pose], pairs: DataFrame) -> list[Pose]:
+    """Poses of another frame in this one: pairs(sx, sy, sz, dx, dy, dz) of points known in both give the similarity.
+
+    A centre moves as a point does, an orientation by the rotation alone. At least three pairs are needed.
+    """
+    sim = umeyama(pairs)
+    turn = np.array(sim.r).reshape(3, 3)
+    out = []
+    for p in poses:
+        r, t = np.array(p.r).reshape(3, 3), np.array(p.t)
+        centre = sim.s * turn @ (-r.T @ t) + np.array(sim.t)
+        moved = r @ turn.T
+        out.append(Pose(tuple(moved.ravel().tolist()), tuple((-moved @ centre).tolist())))
+    return out
+
+
+def paired(source: DataFrame, target: DataFrame, order: str) -> DataFrame:
+    """Pairs by place in order, as far as the shorter of both goes: (sx, sy, sz, dx, dy, dz)."""
+    from pyspark.sql import Window as W
+
+    a, b = (df.withColumn("_i", F.row_number().over(W.orderBy(order))).select("_i", *[F.col(c).alias(f"{n}{c}") for c in "xyz"]) for n, df in (("s", source), ("d", target)))
+    return a.join(b, "_i").drop("_i")

@@ -58,22 +58,27 @@ def sh_degree(it: Column, total: int) -> Column:
 def sample_surface(faces: DataFrame, count: int, seed: int = 7) -> DataFrame:
     """``count`` points by area with replacement: faces(id, ax..cz) to (point, face, x, y, z, area).
 
-    A running sum of areas is cut at hashed uniforms; points find their face by a range join on that sum.
+    A running sum of areas is cut at hashed uniforms. The sum's range is dealt into as many cells as there are faces; a
+    face lies in the cells it reaches, and points find theirs by an equi-join on the cell. Also w0, w1, w2 (the corners'
+    shares of a point) and total (the mesh's area).
     """
     a, b, c = ([F.col(f"{p}{i}") for i in "xyz"] for p in "abc")
     from .geometry import cross, dot
 
     n = cross([q - p for p, q in zip(a, b, strict=True)], [q - p for p, q in zip(a, c, strict=True)])
     faces = faces.withColumn("area", F.sqrt(dot(n, n)) / 2)
-    total = faces.agg(F.sum("area")).first()[0]
+    total, n = faces.agg(F.sum("area"), F.count(F.lit(1))).first()
     if not total:
         raise ValueError("the mesh has no area")
     upto = faces.withColumn("hi", F.sum("area").over(W.orderBy("id"))).withColumn("lo", F.col("hi") - F.col("area"))
+    last = upto.agg(F.max("hi")).first()[0]  # the running sum's own end, so that no uniform falls beyond it
+    cell = lambda at: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(at * (n / last))))
+    upto = upto.withColumn("_cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))))
 
     def uniform(k: int) -> Column:
         return F.shiftrightunsigned(F.xxhash64("id", F.lit(seed), F.lit(k)), 11) / float(1 << 53)
 
-    points = faces.sparkSession.range(count).withColumns({"at": uniform(0) * total, "r1": F.sqrt(uniform(1)), "r2": uniform(2)}).withColumnRenamed("id", "point")
-    hit = points.join(F.broadcast(upto), (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
+    points = faces.sparkSession.range(count).withColumns({"at": uniform(0) * last, "r1": F.sqrt(uniform(1)), "r2": uniform(2)}).withColumnRenamed("id", "point")
+    hit = points.withColumn("_cell", cell(F.col("at"))).join(upto.withColumnRenamed("id", "face"), "_cell").filter((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
     w = [1 - F.col("r1"), F.col("r1") * (1 - F.col("r2")), F.col("r1") * F.col("r2")]
-    return hit.select("point", F.col("id").alias("face"), *[(w[0] * F.col(f"a{i}") + w[1] * F.col(f"b{i}") + w[2] * F.col(f"c{i}")).alias(i) for i in "xyz"], "area")
+    return hit.select("point", "face", *[(w[0] * F.col(f"a{i}") + w[1] * F.col(f"b{i}") + w[2] * F.col(f"c{i}")).alias(i) for i in "xyz"], "area", *[v.alias(f"w{i}") for i, v in enumerate(w)], F.lit(float(total)).alias("total"))

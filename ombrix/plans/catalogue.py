@@ -1,7 +1,7 @@
 """The registered queries of the engine, each beside the DuckDB text that gives the same rows on the same tables.
 
-Floats are rounded to six places by one formula, floor(x * 1e6 + 0.5) / 1e6, since the engines' own round() treats ties
-differently; negative zeros are removed.
+Floats are rounded to six places by one formula, since the engines' own round() treats ties differently: first to nine
+places, so that sums which differ in their last bits tie alike, then to six; negative zeros are removed.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ def query(sql: str | None = None, *views: str):
 
 
 def r6(c: Column | str, name: str) -> Column:
-    return (F.floor((F.col(c) if isinstance(c, str) else c) * 1e6 + 0.5) / 1e6 + F.lit(0.0)).alias(name)
+    fine = F.floor((F.col(c) if isinstance(c, str) else c) * 1e9 + 0.5) / 1e9
+    return (F.floor(fine * 1e6 + 0.5) / 1e6 + F.lit(0.0)).alias(name)
 
 
 def num(x: float) -> str:
@@ -40,7 +41,7 @@ def num(x: float) -> str:
 
 
 def s6(expr: str, name: str) -> str:
-    return f"floor(CAST({expr} AS DOUBLE) * 1e6 + 0.5::DOUBLE) / 1e6 + 0.0::DOUBLE AS {name}"
+    return f"floor(floor(CAST({expr} AS DOUBLE) * 1e9 + 0.5::DOUBLE) / 1e9 * 1e6 + 0.5::DOUBLE) / 1e6 + 0.0::DOUBLE AS {name}"
 
 
 def splats(spark: SparkSession, d: str) -> DataFrame:
@@ -288,12 +289,7 @@ SELECT vehicle_id, {s6("radius", "radius")}, {s6(f"mx+0.82::DOUBLE*radius/{num(_
     "v_splat",
 )
 def bootstrap_pose(spark, d):
-    own = W.partitionBy("vehicle_id")
-    s = splats(spark, d).select("vehicle_id", *"xyz", *[F.avg(c).over(own).alias(f"m{c}") for c in "xyz"])
-    far = F.sqrt(F.pow(F.col("x") - F.col("mx"), 2) + F.pow(F.col("y") - F.col("my"), 2) + F.pow(F.col("z") - F.col("mz"), 2))
-    b = s.groupBy("vehicle_id").agg(F.max(far).alias("radius"), *[F.first(f"m{c}").alias(f"m{c}") for c in "xyz"])
-    dist = F.col("radius") / _TAN * 1.4
-    return b.select("vehicle_id", r6("radius", "radius"), r6(F.col("mx") + 0.82 * dist, "ex"), r6(F.col("my") - 0.52 * dist, "ey"), r6(F.col("mz") + 0.55 * F.col("radius"), "ez"))
+    return geometry.bootstrap_pose(splats(spark, d), FRAME, "vehicle_id").select("vehicle_id", *[r6(c, c) for c in ("radius", "ex", "ey", "ez")])
 
 
 # the low percentile is interpolated as (higher - place) * lower value + (place - lower) * higher value
@@ -483,7 +479,7 @@ def hsv_histogram(spark, d):
 @query(
     """WITH s AS (SELECT vehicle_id, splat_id AS source_id, x AS sx, -y AS sy, z AS sz FROM v_splat WHERE provenance = 1),
 n AS (SELECT s.source_id, min(row(sqrt((t.x-sx)^2+(t.y-sy)^2+(t.z-sz)^2), t.splat_id)) AS m FROM s JOIN v_splat t ON s.vehicle_id=t.vehicle_id WHERE sqrt((t.x-sx)^2+(t.y-sy)^2+(t.z-sz)^2) <= 0.05::DOUBLE GROUP BY s.source_id)
-SELECT n.m[2] AS splat_id, n.source_id, floor(n.m[1] * 1e6 + 0.5::DOUBLE) / 1e6 + 0.0::DOUBLE AS distance FROM n JOIN v_splat t ON t.splat_id = n.m[2] WHERE t.provenance = 0""",
+SELECT n.m[2] AS splat_id, n.source_id, floor(floor(n.m[1] * 1e9 + 0.5::DOUBLE) / 1e9 * 1e6 + 0.5::DOUBLE) / 1e6 + 0.0::DOUBLE AS distance FROM n JOIN v_splat t ON t.splat_id = n.m[2] WHERE t.provenance = 0""",
     "v_splat",
 )
 def mirror_nearest(spark, d):
