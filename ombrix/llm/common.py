@@ -76,6 +76,13 @@ def buckets_for(df: DataFrame, bytes_each: int = 8 << 20, least: int = 12) -> in
     return max(least, own if own < 200 else least, math.ceil(size / bytes_each))
 
 
+def apart_from_uid(docs: DataFrame, stage) -> DataFrame:
+    """stage(docs), for stages that number rows by ``uid``: a column of that name, in any case of letters, steps aside meanwhile."""
+    names = docs.columns
+    aside = [f"_{i}_{uuid.uuid4().hex}" if c.lower() == "uid" else c for i, c in enumerate(names)]
+    return stage(docs.toDF(*aside)).select(*aside).toDF(*names)
+
+
 def with_uid(docs: DataFrame, *more: str) -> DataFrame:
     """(uid, doc_id, text, *more): uid is unique and ascends as (doc_id, hash of the text, text), null doc_id first.
 
@@ -101,7 +108,7 @@ def ranked(df: DataFrame, keys: list[str], order: list, name: str, rows_each: in
     from pyspark.sql import Window as W
 
     total = df.count() if total is None else total
-    salts = max(4, math.ceil(total / rows_each))
+    salts = max(64, math.ceil(total / rows_each))
     df = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     sizes = df.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select(*keys, "_salt", (F.sum("_n").over(W.partitionBy(*keys).orderBy("_salt")) - F.col("_n")).alias("_before"))

@@ -113,12 +113,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     ranges = buckets_for(docs, 8 << 20)
-    shares = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
+    shares = F.lit(np.arange(1, ranges) / ranges)
     least, borders = docs.agg(F.min("uid"), F.percentile_approx("uid", shares, F.lit(max(10_000, 20 * ranges)))).first()
     if least is None:
         return spark.createDataFrame([], schema)
     borders = sorted(set(borders) - {least})  # fewer than ranges
-    bounds = F.array(*[F.lit(b).cast("long") for b in borders]) if borders else F.array().cast("array<long>")
+    bounds = F.lit(np.array(borders, np.int64)) if borders else F.array().cast("array<long>")  # one literal, however many
     halvings = max(1, len(borders).bit_length())
 
     def below(found, step):  # binary search for the number of borders at or below uid
@@ -131,7 +131,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     homes = F.when(F.coalesce(border, F.lit(False)), F.concat(homes, F.array(F.struct((F.col("part") - 1).alias("part"), F.lit(1).alias("tail"))))).otherwise(homes)
     homes = F.when(F.col("uid") == least, F.concat(homes, F.array(F.struct(F.lit(len(borders)).alias("part"), F.lit(1).alias("tail"))))).otherwise(homes)
     dealt = dealt.select("uid", "doc_id", "text", F.inline(homes).alias("part", "tail"))
-    dealt = dealt.repartition(ranges, "part").sortWithinPartitions("part", "tail", "uid")
+    dealt = dealt.repartitionById(ranges, F.col("part").cast("int")).sortWithinPartitions("part", "tail", "uid")
 
     def run(batches_in):
         held = None  # the last document so far, waiting for its next: (part, doc_id, text, code)

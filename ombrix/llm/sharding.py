@@ -140,7 +140,7 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int | None = None) -> DataF
     nodes = written(nodes, "nodes")
     total = nodes.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
-    salts = max(4, math.ceil(total / (1 << 20)))
+    salts = max(64, math.ceil(total / (1 << 20)))
     chunk = max(1, min(int(0.9 * (total // shards)), MOST_MEMBERS))
     groups = nodes.groupBy("g").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     groups = groups.select("g", F.ceil(F.col("members") / chunk).cast("int").alias("subs"))

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import BLOCK_BYTES, SpanHasher, bounded_batches, documents
@@ -27,6 +28,8 @@ PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
 #: The largest fitting sample, in documents of each label. The sample is the labelled rows of smallest hash.
 MOST_TOXIC, MOST_CLEAN = 1500, 3000
+#: The bytes of text that the sample's documents, in the order of the hash, may have together; each is taken whole.
+MOST_BYTES = 64 << 20
 MOST_FEATURES = 4096
 #: Of the chains without a telling feature every so many-th takes part in the fit.
 EVERY = 40
@@ -276,7 +279,7 @@ def marginals(tok: Tokens, model: Model, n: int) -> list[tuple[np.ndarray, np.nd
 
 
 def score_texts(texts: list[str], model: Model) -> tuple[np.ndarray, list[list[list[int]]]]:
-    """Scores, and the offending spans as [first byte, byte after the last] of the lower-cased UTF-8 text."""
+    """Scores, and the offending spans as [first byte, byte after the last] of the UTF-8 text."""
     scores, spans = np.zeros(len(texts)), []
     low = [t.lower().encode() for t in texts]
     for i, j in batches(low, BLOCK_BYTES):
@@ -291,10 +294,22 @@ def score_texts(texts: list[str], model: Model) -> tuple[np.ndarray, list[list[l
                 else:
                     found.append([int(tok.start[t]), int(tok.end[t])])
                 last = t
-            spans.append(found)
+            spans.append(in_original(texts[i + k], found) if found else found)
     return scores, spans
 
 
+def in_original(text: str, spans: list[list[int]]) -> list[list[int]]:
+    """Spans of the lower-cased text's bytes as spans of the text's own bytes; a character is in or out as a whole."""
+    if text.isascii():
+        return spans
+    width = np.fromiter((len(c.encode()) for c in text), np.int64, len(text))
+    lower = np.fromiter((len(c.lower().encode()) for c in text), np.int64, len(text))
+    if (width == lower).all():
+        return spans
+    at, own = np.concatenate([[0], np.cumsum(lower)]), np.concatenate([[0], np.cumsum(width)])
+    return [[int(own[np.searchsorted(at, a, side="right") - 1]), int(own[np.searchsorted(at, b)])] for a, b in spans]
+
+
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 4 == 2
 
@@ -306,6 +321,8 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
     order = F.xxhash64("doc_id")
     sample = usable.filter("toxic = 1").orderBy(order, "doc_id").limit(MOST_TOXIC).unionByName(usable.filter("toxic = 0").orderBy(order, "doc_id").limit(MOST_CLEAN))
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")  # MOST_TOXIC + MOST_CLEAN rows at most
+    upto = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(W.orderBy(order, "doc_id", "text").rowsBetween(W.unboundedPreceding, 0))
+    wanted = wanted.withColumn("_upto", upto).filter(F.col("_upto") <= MOST_BYTES)
     rows = sorted((r for r in wanted.collect()), key=lambda r: (r.doc_id, r.text or ""))
     return fit([r.text or "" for r in rows], [r.toxic for r in rows])
 
@@ -332,12 +349,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted, and ``spans``: the offending bytes as "first-end first-end ..", empty where none."""
     docs = documents(spark, sf_dir)
-    return score(docs, fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))).drop("spans")
+    out = score(docs, fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return out.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s[0], s[1])), " "))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of docs whose score stays under THRESHOLD, with all their columns."""
+    """The rows of docs whose score stays under THRESHOLD, with all their columns; rows of null or empty text stay with the clean."""
     bounded_batches(spark)
     model = fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     shared = spark.sparkContext.broadcast(model)
