@@ -143,7 +143,8 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int | None = None) -> DataF
     salts = max(64, math.ceil(total / (1 << 20)))
     chunk = max(1, min(int(0.9 * (total // shards)), MOST_MEMBERS))
     groups = nodes.groupBy("g").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    groups = groups.select("g", F.ceil(F.col("members") / chunk).cast("int").alias("subs"))
+    # written, so that the joins are of two plain tables and a hot group's rows can be split
+    groups = written(groups.select("g", F.ceil(F.col("members") / chunk).cast("int").alias("subs")), "linked_texts")
     linked = nodes.join(groups, "g").select("uid", "doc_id", "size", "text_crc32", "g", F.pmod(F.xxhash64("uid", F.lit(3)), F.col("subs")).cast("int").alias("sub"))
     linked = written(linked, "linked")
     first = F.pmod(F.xxhash64("uid", F.lit(5)), F.lit(shards)).cast("int")
