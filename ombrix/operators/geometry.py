@@ -68,6 +68,15 @@ def to_camera(pose: Pose, p: Vec) -> Vec:
     return tuple(v + t for v, t in zip(rotate([F.lit(x) for x in pose.r], p), pose.t, strict=True))
 
 
+def once(cloud: DataFrame, *names: str) -> DataFrame:
+    """``cloud`` with the named columns evaluated once per row.
+
+    The optimiser pastes a column's expression into every filter and formula that reads it; where that expression is dear
+    (casts of decimals, say) and read dozens of times, a generator of one row keeps it apart.
+    """
+    return cloud.select(*[c for c in cloud.columns if c not in names], F.inline(F.array(F.struct(*names))))
+
+
 def project(cloud: DataFrame, pose: Pose, k: Intrinsics) -> DataFrame:
     """Adds u, v and depth; depth may be negative, the caller filters."""
     x, y, z = to_camera(pose, (F.col("x"), F.col("y"), F.col("z")))
