@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from . import pixels, spatial
 from .cloud import OBSERVED, PRIOR, prune, with_updates
@@ -120,19 +125,92 @@ def mirror_targets(cloud: DataFrame, radius: float = 0.05, keys: tuple[str, ...]
     return near.join(guesses, "splat_id", "left_semi").join(look, "source_id").drop(*keys)
 
 
+#: Bands of an object by height: the upper and the lower body, as shares of its z range.
+BANDS = ((0.55, 0.90), (0.05, 0.55))
+_SHOWN = ("r", "g", "b", "opacity")
+
+
 def band_medians(cloud: DataFrame, keys: tuple[str, ...] = ("vehicle_id",), k: int = 13, apart: float = 0.15) -> DataFrame:
-    """(keys, band, splat_id, m_r, m_g, m_b, m_opacity): neighbourhood medians of guesses that stick out of their band."""
-    low = cloud.groupBy(*keys).agg(F.min("z").alias("z0"), F.max("z").alias("z1"))
-    f = (F.col("z") - F.col("z0")) / (F.col("z1") - F.col("z0"))
-    band = F.when((f >= 0.55) & (f < 0.90), 0).when((f >= 0.05) & (f < 0.55), 1)
-    own = cloud.join(low, list(keys)).filter("z1 > z0").withColumn("band", band).filter("band is not null")
-    big = own.groupBy(*keys, "band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).drop("n")
-    own = own.join(big, [*keys, "band"])
-    near = spatial.knn(own, k, [*keys, "band"], "splat_id", "r", "g", "b", "opacity")
-    med = near.groupBy(*keys, "band", "splat_id").agg(*[F.median(f"n_{c}").alias(f"m_{c}") for c in ("r", "g", "b", "opacity")])
-    out = med.join(own.filter(F.col("provenance") == PRIOR).select("splat_id", "r", "g", "b"), "splat_id")
-    far = F.sqrt(sum((F.pow(F.col(c) - F.col(f"m_{c}"), 2) for c in "gb"), F.pow(F.col("r") - F.col("m_r"), 2)))
-    return out.filter(far > apart).select(*keys, "band", "splat_id", "m_r", "m_g", "m_b", "m_opacity")
+    """(keys, band, splat_id, m_r, m_g, m_b, m_opacity): neighbourhood medians of guesses that stick out of their band.
+
+    The cloud is dealt once, by object, and no pair of points leaves a task: an object's points must fit a worker's memory.
+    Ids tell splats of all objects apart.
+    """
+    rows = cloud.select(*keys, "splat_id", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "z", *_SHOWN)], F.col("provenance").cast("int").alias("provenance"))
+    for c in keys:
+        rows = rows.filter(F.col(c).isNotNull())
+    own = [f for name in keys for f in cloud.schema if f.name == name]
+    schema = StructType([*own, StructField("band", IntegerType()), cloud.schema["splat_id"], *[StructField(f"m_{c}", DoubleType()) for c in _SHOWN]])
+
+    def settle(table: pa.Table) -> pa.Table:
+        return _object_medians(table, keys, k, apart)
+
+    return rows.groupBy(*keys).applyInArrow(settle, schema)
+
+
+def _numbers(table: pa.Table, *names: str) -> tuple[np.ndarray, np.ndarray]:
+    """Columns as (n, columns), NaN where null, and which are not null."""
+    columns = [table.column(c) for c in names]
+    return np.stack([c.fill_null(math.nan).to_numpy() for c in columns], axis=1), np.stack([c.is_valid().to_numpy() for c in columns], axis=1)
+
+
+@np.errstate(all="ignore")
+def _object_medians(table: pa.Table, keys: tuple[str, ...], k: int, apart: float) -> pa.Table:
+    """Bands, neighbours and medians of one object, as SQL has them: NaN is the largest number, and null takes no part."""
+    table = table.combine_chunks()
+    table = table.take(pc.sort_indices(table.column("splat_id")))
+    ids = table.column("splat_id")
+    place, there = _numbers(table, *"xyz")
+    known, z, named = there.all(1), place[:, 2], ids.is_valid().to_numpy()
+    heights = z[there[:, 2]]
+    low, high = (heights.min(), heights.max()) if len(heights) else (0.0, 0.0)
+    share = (z - low) / (high - low) if high > low else np.full(len(z), math.nan)
+    shown, shows = _numbers(table, *_SHOWN)
+    # rows of one id share a number; there is more than one row only where ids repeat
+    number = np.zeros(len(z), dtype=np.int64)
+    number[1:] = np.cumsum(pc.fill_null(pc.not_equal(ids[1:], ids[:-1]), True).to_numpy())
+    guesses = np.flatnonzero(named & (table.column("provenance").fill_null(-1).to_numpy() == PRIOR))
+    found, bands, medians, empty = [], [], [], []
+    for band, (at, below) in enumerate(BANDS):
+        rows = np.flatnonzero((share >= at) & (share < below))
+        if len(rows) < k or not len(guesses):
+            continue
+        n = number[rows]
+        first = np.diff(n, prepend=-1) > 0
+        asked = np.flatnonzero(first & named[rows] & np.isin(n, number[guesses]))
+        if not len(asked):
+            continue
+        near = spatial.nearest_rows(place[rows], known[rows], asked, k)
+        if not first.all():
+            ends = np.searchsorted(n, n[asked], side="right")
+            for i in np.flatnonzero(ends - asked > 1):
+                near[i] = spatial.ranked(place[rows], known[rows], np.arange(asked[i], ends[i]), k)
+        m, some = _medians(shown[rows[near]], shows[rows[near]])
+        to = np.minimum(np.searchsorted(n[asked], number[guesses]), len(asked) - 1)
+        hit = n[asked][to] == number[guesses]
+        own, to = guesses[hit], to[hit]
+        gap = shown[own, :3] - m[to, :3]
+        gap *= gap
+        keep = ~(np.sqrt((gap[:, 0] + gap[:, 1]) + gap[:, 2]) <= apart) & shows[own, :3].all(1) & some[to, :3].all(1)
+        found.append(own[keep])
+        bands.append(np.full(int(keep.sum()), band, dtype=np.int32))
+        medians.append(m[to[keep]])
+        empty.append(~some[to[keep]])
+    names = [*keys, "band", "splat_id", *[f"m_{c}" for c in _SHOWN]]
+    if not found:
+        made = table.slice(0, 0)
+        return pa.table([*[made.column(c) for c in keys], pa.array([], pa.int32()), made.column("splat_id"), *[pa.array([], pa.float64())] * len(_SHOWN)], names=names)
+    made, medians, empty = table.take(pa.array(np.concatenate(found))), np.concatenate(medians), np.concatenate(empty)
+    values = [pa.array(medians[:, i], mask=empty[:, i]) for i in range(len(_SHOWN))]
+    return pa.table([*[made.column(c) for c in keys], pa.array(np.concatenate(bands)), made.column("splat_id"), *values], names=names)
+
+
+def _medians(values: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Medians over the middle axis of what is there, and where anything is."""
+    n = there.sum(1)
+    order = np.sort(np.where(there, values, math.nan), axis=1)
+    lo, hi = (np.take_along_axis(order, np.maximum(i, 0)[:, None, :], axis=1)[:, 0, :] for i in ((n - 1) // 2, n // 2))
+    return np.where(n % 2 == 1, lo, (lo + hi) / 2), n > 0
 
 
 def smooth_material_bands(cloud: DataFrame, keys: tuple[str, ...] = ("vehicle_id",), blend: float = 0.7) -> DataFrame:
